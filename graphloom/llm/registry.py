@@ -1,6 +1,15 @@
 """Queries of the subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from . import language
+from . import decontaminate, language, lines, packing, simhash
 
-QUERIES = {"op1_language_id": language.op1_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op3_line_dedup": lines.op3_line_dedup,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontaminate.op10_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": lines.OP3_SQL,
+    "op10_decontamination": decontaminate.OP10_SQL,
+}
