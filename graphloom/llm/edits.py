@@ -180,17 +180,17 @@ def edited_counts(docs: DataFrame, edits: DataFrame | None = None, rule: Callabl
     table. Repeated rows give repeated rows, each with all edits of their doc_id. A null in an edit leaves it out, edits that
     overlap an earlier one (by start, end) too. An empty table gives an empty table. Other columns are not read.
     """
-    source = texts(docs, "doc_id", "text")
+    source, asked = texts(docs, "doc_id", "text"), edits is not None
     if edits is not None:
         e = edits.filter("doc_id is not null and start is not null and end is not null and replacement is not null").distinct()
         (of,) = fresh(source, "_of")
-        e = e.groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint"), F.col("end").cast("bigint"), "replacement"))).alias("asked"))
+        e = e.groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "replacement"))).alias("asked"))
         source = source.join(e, source["doc_id"] == F.col(of), "left").select("doc_id", "asked", "text")
     source = source.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            given = piece.column("asked").to_pylist() if edits is not None else None
+            given = piece.column("asked").to_pylist() if asked else None
             out = []
             for i, text in enumerate(piece.column("text").to_pylist()):
                 text = text or ""
