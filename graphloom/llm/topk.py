@@ -40,7 +40,7 @@ class Shard:
         low, high = x.min(0), x.max(0)
         self.rounds = []
         for share in rounds:
-            read = min(n - 1, max(1, int(share * n)))
+            read = max(1, min(n - 1, int(share * n)))
             # read from the top: values of rank n - read and above are known
             top, top_at = rank >= n - read, np.take_along_axis(x, order[n - read : n - read + 1], axis=0)[0]
             bottom, bottom_at = rank < read, np.take_along_axis(x, order[read - 1 : read], axis=0)[0]
