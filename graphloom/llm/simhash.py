@@ -2,7 +2,7 @@
 
 Each document's set of words makes a fingerprint of 256 bits. Every trie of the forest orders the fingerprints by a
 random permutation of their bits. A pair at distance h shares the first d bits of one trie with probability
-(1 - h / 256) ** d, so `tries` tries climbed to depth d find it with 1 - (1 - (1 - h / 256) ** d) ** tries. Sparse
+p = C(256 - h, d) / C(256, d), so `tries` tries climbed to depth d find it with 1 - (1 - p) ** tries. Sparse
 regions of a trie are climbed to shorter prefixes than that for nothing; dense regions only to the depth at which pairs
 at the largest distance reach the target recall. Pairs that share a prefix are verified by their full fingerprints.
 """
@@ -37,7 +37,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np
 def forest(points: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int]:
     """Depth to which dense regions are climbed, and the tries that then reach the recall."""
     depth = min(64, max(12, math.ceil(math.log2(max(points, 1))) - int(math.log2(NODE))))
-    p = (1 - distance / BITS) ** depth
+    p = math.prod((BITS - distance - i) / (BITS - i) for i in range(depth))
     return depth, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
