@@ -1,0 +1,331 @@
+"""Operators and the pipeline against slow and plain versions of themselves."""
+
+import random
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from graphloom.llm import archive, decontaminate, edits, language, lines, packing, passages, secrets, simhash, tokens, topk
+from graphloom.llm import words as hashing
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return docs.toPandas()
+
+
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=5))
+@settings(max_examples=60, deadline=None)
+def test_words_and_profiles(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    h, _, _, at = hashing.words(pa.array(texts))
+    for i, t in enumerate(texts):
+        own = h[at[i] : at[i + 1]]
+        assert len(own) == len(regex.findall("[0-9a-z\x80-\U0010ffff]+", pa.compute.utf8_lower(pa.scalar(t)).as_py()))
+        assert np.array_equal(own, hashing.of_text(t))
+    v, n = language.bundle(pa.array(texts))
+    for i, t in enumerate(texts):
+        if pa.compute.utf8_lower(pa.scalar(t)).as_py() == t.lower():
+            w, m = brute.profile(t)
+            assert n[i] == m and np.allclose(v[i], w, atol=0.5)
+
+
+def test_language_of_held_out_documents(docs):
+    """Odd documents show no label; their language is told from the even ones."""
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    got = language.identify(hidden).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id").filter("lang is null and true is not null and trigrams >= 50")
+    n, right = got.agg(F.count("*"), F.count_if(F.col("true") == F.col("language"))).first()
+    assert n > 50 and right >= 0.98 * n
+
+
+def test_archives_round_trip(spark, docs, tmp_path):
+    index = archive.write_archives(docs, f"file://{tmp_path}", archive=20_000)
+    assert index.select("archive").distinct().count() > 3
+    encode = tokens.encoding().encode_ordinary
+    want = {r["doc_id"]: encode(r["text"] or "") for r in docs.collect()}
+    got = {r["doc_id"]: r["ids"] for r in archive.read_archives(index).collect()}
+    assert got == want
+    some = archive.read_archives(index.filter("doc_id % 7 = 0")).collect()
+    assert {r["doc_id"]: r["ids"] for r in some} == {k: v for k, v in want.items() if k % 7 == 0}
+    row = index.orderBy(F.desc("size")).first()
+    data = bytearray(open(row["archive"].removeprefix("file://"), "rb").read())
+    # each frame is a whole zstandard frame of its own
+    ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data[row["at"] : row["at"] + row["size"]])), "<u2")
+    assert ids.tolist() == want[row["doc_id"]]
+    data[row["at"] + row["size"] // 2] ^= 0xFF
+    (tmp_path / "damaged.zst").write_bytes(data)
+    reader = archive.open_archive(str(tmp_path / "damaged.zst"))
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        reader[row["frame"]]
+    other = 0 if row["frame"] else 1
+    assert len(reader[other]) >= 0
+    (tmp_path / "short.zst").write_bytes(data[:-1])
+    with pytest.raises(ValueError):
+        archive.open_archive(str(tmp_path / "short.zst"))
+
+
+@pytest.mark.parametrize("sites", [2, 3, 8])
+def test_lines(spark, sites):
+    r = random.Random(sites)
+    pool = [f"line {i} of the pool" for i in range(12)]
+    rows = [(i, "\n".join(r.choice(["", "  ", *pool, f"own {i}", "  padded  "]) for _ in range(r.randrange(12))), r.choice([None, *"abcdefghijkl"])) for i in range(60)]
+    got = {x["doc_id"]: (x["text"], x["lines_removed"], x["lines_left"]) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sites).collect()}
+    assert got == brute.dedup_lines(rows, sites)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', 1),
+        ("export AWS_SECRET_ACCESS_KEY=wJalrXUt7FEMIxK9MDENGbPxRfiCYzQ8L1mN4vTs", 1),
+        ('password: "your_api_key_here_password123"', 0),
+        ('api_key = "abcdefghijklmnopqrstuvwxyz0123456789"', 0),
+        ("auth = request.headers.get_token_type1", 0),
+        ('x9f8a7s6d5f4g3h2j1k0 and token = "x9f8a7s6d5f4g3h2j1k0"', 1),
+        ("a token of thanks and a secret garden", 0),
+        ("", 0),
+    ],
+)
+def test_secrets(spark, text, found):
+    rows = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert len(rows) == found
+    for x in rows:
+        assert text[x["start"] : x["end"]].startswith(x["preview"]) and x["novelty"] >= secrets.NOVELTY
+
+
+def test_secret_far_into_a_long_text(spark):
+    text = "plain words of a page. " * 40_000 + 'secret_key = "Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"' + " more words" * 40_000
+    assert secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
+
+
+@pytest.mark.parametrize(("n", "d", "shard"), [(1, 3, 8192), (7, 1, 8192), (400, 5, 64), (300, 16, 97)])
+def test_topk(spark, monkeypatch, n, d, shard):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    r = np.random.RandomState(n)
+    x = np.round(r.randn(n, d), 1).astype(np.float32)  # rounded, so that there are ties
+    x[n // 2 :] = x[: n - n // 2]
+    got = topk.top_k(spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id bigint, embedding array<float>"), k=4)
+    want = []
+    for i in range(n):
+        s = x.astype(np.float64) @ x[i].astype(np.float64)
+        order = sorted((j for j in range(n) if j != i), key=lambda j: (-round(s[j], 9), j))[:4]
+        want += [(i, k, j, round(float(s[j]), 6) + 0.0) for k, j in enumerate(order, 1)]
+    rows = [(a, b, c, s + 0.0) for a, b, c, s in got.orderBy("query_id", "rank").collect()]
+    assert [(r[0], r[1], r[3]) for r in rows] == [(r[0], r[1], r[3]) for r in want]
+    exact = np.einsum("ij,ij->i", x[[r[0] for r in rows]].astype(float), x[[r[2] for r in rows]].astype(float)) if rows else np.zeros(0)
+    assert np.allclose(exact, [r[3] for r in rows], atol=1e-6)
+
+
+def test_bounds_let_reading_stop():
+    """Where a few items stand out, the lists are not read to the end."""
+    r = np.random.RandomState(0)
+    x = r.rand(2000, 6).astype(np.float32) * 0.1
+    x[:12] += 2
+    found = topk.Shard(x).best(np.ones((3, 6), np.float32), 10)
+    assert all(len(f) <= 40 and set(np.argsort(-(x @ np.ones(6)))[:10]) <= set(f) for f in found)
+
+
+def test_near_duplicates(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, n = [], 0
+    for _ in range(150):
+        base = [r.choice(vocabulary) for _ in range(r.randrange(5, 200))]
+        for _ in range(r.choice([1, 1, 2, 5])):
+            rows.append((n, " ".join(r.choice(vocabulary) if r.random() < r.choice([0, 0.02, 0.1, 0.2]) else w for w in base)))
+            n += 1
+    rows += [(n + i, rows[0][1]) for i in range(300)] + [(n + 300, "…"), (n + 301, "…"), (n + 302, "?!")]
+    want, pairs = brute.near_groups(rows)
+    got = {x["doc_id"]: x["group_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == set(want)
+    together = sum(got[a] == got[b] for a, b in pairs)
+    assert together >= 0.9 * len(pairs)
+    # nothing is joined that brute force does not join
+    assert all(want[i] == want[g] for i, g in got.items())
+    assert got[n + 300] == got[n + 301] == n + 300 or got[n + 301] == n + 300
+
+
+def test_forest_recall():
+    """At the very distance, over random prints, at several numbers of points."""
+    r = np.random.RandomState(1)
+    for points in (1_000, 1_000_000, 10**9):
+        depth, tries = simhash.forest(points)
+        orders = simhash._tries(0, tries, 20)
+        hits = 0
+        for _ in range(400):
+            flip = np.zeros(simhash.BITS, bool)
+            flip[r.permutation(simhash.BITS)[: simhash.DISTANCE]] = True
+            hits += any(not flip[o[:depth]].any() for o in orders)
+        assert hits >= 0.87 * 400
+
+
+def test_passages(spark):
+    r = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    shared, other = say(80), say(300)
+    fuzzy = [w for i, w in enumerate(other) if i % 40 != 20]  # a word in forty is lost
+    for i in range(10, len(fuzzy), 45):
+        fuzzy[i] = "changed"
+    rows = [(1, say(200) + shared + say(100)), (2, say(50) + shared + say(10)), (3, other + say(30)), (4, say(70) + fuzzy), (5, say(400)), (6, say(60) + shared[:40] + say(60)), (7, shared), (8, ["x", "y"] * 500)]
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")).collect()
+    place = {x["doc_id"]: x for x in got}
+    assert sorted(place) == [2, 4, 7] and len(got) == 3
+    assert (place[2]["start_word"], place[2]["end_word"], place[2]["source_doc_id"], place[2]["source_start"]) == (50, 130, 1, 200)
+    assert (place[7]["start_word"], place[7]["end_word"], place[7]["identity"]) == (0, 80, 1.0)
+    assert place[4]["source_doc_id"] == 3 and place[4]["start_word"] <= 75 and place[4]["end_word"] >= 345 and 0.9 < place[4]["identity"] < 1
+
+
+def test_passages_cover_what_brute_force_finds(spark, docs, plain):
+    """Windows of 50 equal words that an earlier document holds lie in reported passages."""
+    first, need = {}, []
+    for i, text in sorted(zip(plain.doc_id, plain.text)):
+        w = brute.words(text)
+        for a in range(len(w) - 49):
+            if first.setdefault(tuple(w[a : a + 50]), i) != i:
+                need.append((i, a))
+    covered = {}
+    for x in passages.repeated_passages(docs).collect():
+        covered.setdefault(x["doc_id"], set()).update(range(x["start_word"], x["end_word"]))
+    assert need
+    good = sum(len(covered.get(i, set()) & set(range(a, a + 50))) >= 45 for i, a in need)
+    assert good >= 0.98 * len(need)
+
+
+def test_chains_are_the_best():
+    """The Fenwick tree's chain scores as much as the best of all subsets in order."""
+    r = np.random.RandomState(7)
+    for _ in range(150):
+        n = r.randint(1, 7)
+        a0, b0 = r.randint(0, 60, n), r.randint(0, 60, n)
+        size = r.randint(8, 20, n)
+        weight = size.astype(float)
+        a1, b1 = a0 + size, b0 + size
+
+        def worth(path):
+            total = weight[path[0]]
+            for p, q in zip(path, path[1:]):
+                ga, gb = a0[q] - a1[p], b0[q] - b1[p]
+                if ga < 0 or gb < 0 or ga > passages.GAP or gb > passages.GAP:
+                    return -1
+                total += weight[q] - passages.COST * (ga + gb) / 2
+            return total
+
+        best = max(worth(sorted((i for i in range(n) if m >> i & 1), key=lambda i: a0[i])) for m in range(1, 1 << n))
+        assert worth(passages.chain(a0, a1, b0, b1, weight)[0]) == pytest.approx(best)
+
+
+@given(st.text("ab 1'\n.é漢", max_size=60), st.lists(st.tuples(st.integers(0, 70), st.integers(0, 70), st.text("ab 1'\n.é", max_size=6)), max_size=5))
+@settings(max_examples=400, deadline=None)
+def test_edited_counts(text, changes):
+    encode = tokens.encoding().encode_ordinary
+    tree = edits.TokenTree(text)
+    assert tree.tokens == len(encode(text)) and tree.count(0, len(tree.ends)) == tree.tokens
+    new = tree.apply(changes)
+    at, want = 0, ""
+    for s, e, r in sorted(changes, key=lambda x: (x[0], x[1])):
+        e = min(e, len(text))
+        if s >= at and s <= e and (s < e or r):
+            want += text[at:s] + r
+            at = e
+    assert new == want + text[at:]
+    assert tree.tokens == len(encode(new))
+
+
+def test_edits_reencode_little():
+    text = "The quick brown fox jumps over the lazy dog. " * 5000
+    tree = edits.TokenTree(text)
+    new = tree.apply([(100_000, 100_005, "cat")])
+    assert tree.tokens == len(tokens.encoding().encode_ordinary(new)) and tree.reencoded < 60
+
+
+@given(st.lists(st.integers(1, 120), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_packing_is_best_fit(lengths):
+    tiers = (8, 32, 120)
+    n = np.array(lengths, np.int64)
+    got = packing.pack(n, tiers)
+    assert list(zip(*[x.tolist() for x in got])) == brute.pack(lengths, tiers)
+    step = packing.steps(got[1], got[0], n, tiers, 64)
+    load = {}
+    for w, t, s in zip(got[1].tolist(), got[0].tolist(), step.tolist()):
+        load.setdefault((t, s), set()).add(w)
+    assert all(len(ws) <= max(1, 64 // tiers[t]) for (t, _), ws in load.items())
+
+
+def test_every_token_is_packed_once(spark, docs, plain):
+    rows = packing.pack_documents(docs, tiers=(64, 512, 2048), shard=20_000).toPandas()
+    encode = tokens.encoding().encode_ordinary
+    for i, own in rows.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert own.start.tolist() == [0, *own.tokens.cumsum().tolist()[:-1]]
+        assert own.tokens.sum() == len(encode(plain.text[plain.doc_id == i].iloc[0])) + 1
+    assert set(rows.doc_id) == {i for i, t in zip(plain.doc_id, plain.text) if t}
+    for (_, tier), w in rows.groupby(["window_id", "tier"]):
+        w = w.sort_values("offset")
+        assert w.offset.tolist() == [0, *w.tokens.cumsum().tolist()[:-1]] and w.tokens.sum() <= tier
+    assert (rows.groupby("window_id").tier.nunique() == 1).all() and (rows.groupby("window_id").step_id.nunique() == 1).all()
+
+
+def test_leaks(spark):
+    r = random.Random(2)
+    items = [(i, " ".join(r.choice("a b c d e f g h i j k l m".split()) + str(r.randrange(9)) for _ in range(r.randrange(3, 40)))) for i in range(20)]
+    docs = []
+    for i in range(60):
+        w = [f"x{r.randrange(99)}" for _ in range(r.randrange(60))]
+        for _ in range(r.randrange(3)):
+            own = r.choice(items)[1].split()
+            a = r.choice([0, r.randrange(len(own))])
+            at = r.randrange(len(w) + 1)
+            w[at:at] = [x if r.random() < 0.97 else "changed" for x in own[a : a + r.choice([40, r.randrange(40)])]]
+        docs.append((i, r.choice([" ", ", ", "\n"]).join(w).title()))
+    for share in (0.3, 0.5, 1.0):
+        got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), share)
+        want = {k: (round(c, 6), s) for k, (c, s) in brute.leaks(docs, items, share).items()}
+        assert {(x["doc_id"], x["item_id"]): (round(x["containment"], 6), x["start_word"]) for x in got.collect()} == want and want
+
+
+def test_large_benchmarks_take_several_passes(spark, monkeypatch):
+    docs, items = [(1, "one two three four five six seven eight nine ten")], [(i, "one two three four five six seven eight nine ten"[i:]) for i in (0, 4, 8)]
+    monkeypatch.setattr(decontaminate, "BLOCK", 1)
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == {(1, 0), (1, 4), (1, 8)}
+
+
+def test_pipeline(spark, plain):
+    """The whole pipeline against the plain versions, one after the other."""
+    rows = list(zip(plain.doc_id, plain.text, plain.lang, plain.source))
+    keep = brute.known_languages([(i, t, g) for i, t, g, _ in rows])
+    rows = [x for x in rows if x[0] in keep]
+    cut = brute.dedup_lines([(i, t, s) for i, t, _, s in rows])
+    rows = [(i, cut[i][0]) for i, *_ in rows if not cut[i][1] or cut[i][2]]
+    groups, _ = brute.near_groups(rows)
+    rows = [x for x in rows if groups[x[0]] == x[0]]
+    items = [tuple(x) for x in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {d for d, _ in brute.leaks(rows, items)}
+    rows = sorted(x for x in rows if x[0] not in bad)
+    encode = tokens.encoding().encode_ordinary
+    lengths, pieces = [], []
+    for i, t in rows:
+        n = len(encode(t)) + 1
+        for start in range(0, n if n > 1 else 0, packing.TIERS[-1]):
+            pieces.append((i, start))
+            lengths.append(min(n - start, packing.TIERS[-1]))
+    want = sorted((i, start, n, packing.TIERS[t], w, o) for (i, start), n, (t, w, o) in zip(pieces, lengths, brute.pack(lengths)))
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(tuple(x) for x in got.select("doc_id", "start", "tokens", "tier", "window_id", "offset").collect()) == want
