@@ -306,7 +306,7 @@ def _code(spark, sf):
 
 
 _CODE = """rows AS (SELECT a.p_partkey AS k, a.p_name AS name, a.p_brand AS path, b.p_name AS name1, b.p_brand AS brand1, c.p_name AS name2 FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 LEFT JOIN part c ON c.p_partkey = a.p_partkey + 2),
-sy AS (SELECT name || '@' || path AS id, name, path, arg_max(name1, k) AS parent, min(k) AS ss, CAST(path[7:] AS BIGINT) AS fs FROM rows GROUP BY name, path),
+sy AS (SELECT name || '@' || path AS id, name, path, arg_max_null(name1, k) AS parent, min(k) AS ss, CAST(path[7:] AS BIGINT) AS fs FROM rows GROUP BY name, path),
 im AS (SELECT DISTINCT path AS src, brand1 AS dst, 'imports' AS etype, 1 AS p FROM rows WHERE brand1 <> path),
 us AS (SELECT DISTINCT path AS src, name1 || '@' || brand1 AS dst, 'uses' AS etype, 1 AS p FROM rows WHERE brand1 <> path),
 ex AS (SELECT src, arg_min(dst, (far, fs, ss)) AS dst, 'extends' AS etype, 2 AS p FROM (SELECT a.id AS src, b.id AS dst, CASE WHEN a.path = b.path THEN 0 ELSE 1 END AS far, b.fs, b.ss FROM sy a JOIN sy b ON a.parent = b.name) GROUP BY src),
@@ -463,7 +463,7 @@ def top_connected(spark, sf):
 @query(f"""WITH {KEY_SQL}, r AS (SELECT id, (SELECT count(*) FROM ke WHERE etype = 'imports' AND dst = id) / 1000.0::DOUBLE AS pagerank FROM kn WHERE ntype = 'file'),
 m AS (SELECT min(pagerank) AS low, max(pagerank) AS high FROM r), i AS (SELECT dst, count(*) AS n FROM ke GROUP BY 1), o AS (SELECT src, count(*) AS n FROM ke GROUP BY 1),
 x AS (SELECT src, array_to_string(list(name || ':' || stype ORDER BY id)[1:8], ' ') AS exports FROM ke JOIN kn ON dst = id WHERE ntype = 'symbol' GROUP BY src)
-SELECT kn.id, kn.id AS label, language, subproject, -1 AS community, '#4C566A' AS color, round(6 + 22 * (pagerank - low) / (high - low), 2) AS radius, pagerank, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(exports, '') AS exports
+SELECT kn.id, kn.id AS label, language, subproject, -1 AS community, '#4C566A' AS color, round(CAST(6 + 22 * (pagerank - low) / (high - low) AS DECIMAL(38, 16)), 2)::DOUBLE AS radius, pagerank, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(exports, '') AS exports
 FROM kn JOIN r ON kn.id = r.id CROSS JOIN m LEFT JOIN i ON i.dst = kn.id LEFT JOIN o ON o.src = kn.id LEFT JOIN x ON x.src = kn.id""")
 def viz_nodes(spark, sf):
     g = key_graph(spark, sf)
