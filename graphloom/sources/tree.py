@@ -46,8 +46,9 @@ def load_ignore(spark: SparkSession, root: str, name: str = ".graphignore") -> l
     at = os.path.join(root, name)
     if not os.path.exists(at):
         return []
-    line = F.trim("value")
-    return [r[0] for r in spark.read.text(at).select(line.alias("p")).filter((F.col("p") != "") & ~F.col("p").startswith("#")).collect()]
+    # not by spark.read, which passes over files whose names begin with a dot
+    with open(at, encoding="utf-8", errors="replace") as f:
+        return [p for p in map(str.strip, f) if p and not p.startswith("#")]
 
 
 def is_ignored(path: str, patterns: list[str]) -> bool:
