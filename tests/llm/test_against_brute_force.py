@@ -230,6 +230,16 @@ def test_chains_are_the_best():
         assert worth(passages.chain(a0, a1, b0, b1, weight)[0]) == pytest.approx(best)
 
 
+def test_a_far_heavy_segment_hides_no_near_ones():
+    """A long shared passage, 60 other words, then seven runs of 28 equal words with an inserted word between them."""
+    a0 = np.array([0, *(260 + 29 * i for i in range(7))])
+    b0 = np.array([0, *(260 + 28 * i for i in range(7))])
+    size = np.array([200] + [28] * 7)
+    got = passages.chain(a0, a0 + size, b0, b0 + size, size)
+    assert got == [[0], [1, 2, 3, 4, 5, 6, 7]] or got == [[1, 2, 3, 4, 5, 6, 7], [0]]
+
+
+
 @given(st.text("ab 1'\n.é漢", max_size=60), st.lists(st.tuples(st.integers(0, 70), st.integers(0, 70), st.text("ab 1'\n.é", max_size=6)), max_size=5))
 @settings(max_examples=400, deadline=None)
 def test_edited_counts(text, changes):
