@@ -191,6 +191,19 @@ def test_passages(spark):
     assert place[4]["source_doc_id"] == 3 and place[4]["start_word"] <= 75 and place[4]["end_word"] >= 345 and 0.9 < place[4]["identity"] < 1
 
 
+@pytest.mark.parametrize("passage, count, gap", [(50, 2, 30), (50, 2, 34), (100, 4, 30)])
+def test_passages_with_unlike_words_between(spark, passage, count, gap):
+    """Each shared passage is reported where the chain of all of them is under the identity."""
+    r = random.Random(passage + gap)
+    say = lambda n: [f"v{r.randrange(20_000)}" for _ in range(n)]
+    shared = [say(passage) for _ in range(count)]
+    rows = [(d, " ".join(sum((p + say(gap) for p in shared), say(60)))) for d in (1, 2)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    covered = {i for x in got for i in range(x["start_word"], x["end_word"])}
+    assert all(x["identity"] >= passages.IDENTITY for x in got)
+    assert all(60 + n * (passage + gap) + i in covered for n in range(count) for i in range(passage))
+
+
 def test_passages_cover_what_brute_force_finds(spark, docs, plain):
     """Windows of 50 equal words that an earlier document holds lie in reported passages."""
     first, need = {}, []
