@@ -9,6 +9,7 @@ their length. Candidates that do not compress are reported, without the secret i
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,16 +22,16 @@ from .common import arrow, slices, texts
 
 #: Characters of the surrounding text, before and after, that prime the dictionary; candidates longer than that are read whole.
 AROUND = 2048
-#: Shortest candidate, and marginal bytes a byte of the candidate from which it is reported.
+#: Shortest candidate, and share of the bytes that a random string of its kind costs from which it is reported.
 SHORTEST, NOVELTY = 12, 0.8
 #: Distinct characters that a candidate has at least.
 VARIETY = 8
 LEVEL = 9
 NAME = r"[\w.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|client[_-]?key|signature|session[_-]?id)[\w.-]*"
 ASSIGNED = re.compile(rf"""(?i)(?P<name>{NAME})["']?\s*(?:[:=]{{1,2}}>?|=>|:=|\s)\s*(?:bearer\s+)?(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{{SHORTEST},}})(?P=q)|(?P<bare>[\w+/=.~-]{{{SHORTEST},}}))""")
-BLOCK = re.compile(r"-----BEGIN (?P<name>[A-Z ]*PRIVATE KEY)-----(?P<quoted>[\w+/=\s]+?)-----END")
+BLOCK = re.compile(r"-----BEGIN (?P<name>[A-Z ]*PRIVATE KEY(?: BLOCK)?)-----(?P<quoted>[\w+/=\s:,.\\-]+?)-----END")
 #: What a text must match for its candidates to be looked for; the same words, for Spark.
-SPARK = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|client[_-]?key|signature|session[_-]?id)"
+SPARK = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[\s_-]?key|credential|auth|bearer|client[_-]?key|signature|session[_-]?id)"
 #: Strings that code is full of: names, placeholders, alphabets. The last bytes are the cheapest to refer to.
 IDENTIFIERS = " ".join(
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 0123456789abcdef 1234567890 0000000000000000 ffffffffffffffff xxxxxxxxxxxxxxxx "
@@ -40,6 +41,9 @@ IDENTIFIERS = " ".join(
     "access_token refresh_token token_type authorization bearer client_id client_secret api_key apikey secret_key private_key password username credentials session_id signature "
     "get_token set_token create_token validate_token decode_token encode_token user_password hash_password verify_password application/json content-type".split(" ")
 ).encode()
+#: Bytes from which zstandard codes literals by their frequency, and the symbols of common alphabets, smallest first.
+CODED = 64
+ALPHABETS = [(re.compile(k), n) for k, n in ((r"\d+", 10), (r"[\da-f]+|[\dA-F]+", 16), (r"[a-z]+|[A-Z]+", 26), (r"[\w+/=-]+", 64), (r"[!-~]+", 94))]
 SCHEMA = "doc_id bigint, start int, end int, name string, preview string, digest string, length int, marginal_bytes int, novelty double"
 
 
@@ -63,13 +67,22 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def judge(text: str, start: int, end: int) -> tuple[int, float]:
-    """Marginal bytes of text[start:end] and their share of its bytes. Other places of the same string are blanked in the
+    """Marginal bytes of text[start:end] and their share of what a random string of its kind costs. Other places of the same string are blanked in the
     code around, or a secret that is written twice would look known."""
     secret = text[start:end]
     around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).replace(secret, " ")
     data = secret.encode("utf-8", "replace")
     cost = marginal(data, around.encode("utf-8", "replace"))
-    return cost, cost / len(data)
+    return cost, cost / random_size(secret, len(data))
+
+
+def random_size(secret: str, size: int) -> float:
+    """Bytes that a random string of the secret's length and alphabet costs; size: the secret's own bytes."""
+    if size < CODED:
+        return size
+    tight = re.sub(r"\s", "", secret)
+    symbols = next((n for kind, n in ALPHABETS if tight.isascii() and kind.fullmatch(tight)), 256)
+    return size * math.log2(symbols) / 8
 
 
 def _plausible(secret: str) -> bool:
@@ -78,7 +91,7 @@ def _plausible(secret: str) -> bool:
 
 def scan(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """A row for each secret: doc_id, start and end (characters), name (the text before it), preview (its first 4
-    characters), digest (SHA-256), length, marginal_bytes and novelty (marginal bytes a byte).
+    characters), digest (SHA-256), length, marginal_bytes and novelty (marginal bytes a byte of a random string of its alphabet).
 
     Whole texts are read. Null and empty texts have none. Repeated rows give repeated rows, and a null doc_id is carried along. A secret
     that stands in a text several times has a row for each place. An empty table gives an empty result. Other columns are not read.
