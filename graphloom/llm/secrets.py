@@ -24,14 +24,16 @@ from .common import arrow, slices, texts
 AROUND = 2048
 #: Shortest candidate, and share of the bytes that a random string of its kind costs from which it is reported.
 SHORTEST, NOVELTY = 12, 0.8
-#: Distinct characters that a candidate has at least.
-VARIETY = 8
+#: Mean letters of the words in a bare value from which it is prose or an identifier, its words, and what joins them.
+LONG = 3.5
+HUMP = re.compile(r"[^\W\d_a-z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
+JOINTS = "_.-:/=|!?*&$@#"
 LEVEL = 9
-NAME = r"[\w.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|client[_-]?key|signature|session[_-]?id)[\w.-]*"
-ASSIGNED = re.compile(rf"""(?i)(?P<name>{NAME})["']?\s*(?:[:=]{{1,2}}>?|=>|:=|\s)\s*(?:bearer\s+)?(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{{SHORTEST},}})(?P=q)|(?P<bare>[\w+/=.~-]{{{SHORTEST},}}))""")
+NAME = r"[\w.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth(?:orization)?|bearer|client[ _-]?key|signature|session[_-]?id)[\w.-]*"
+ASSIGNED = re.compile(rf"""(?i)(?P<name>{NAME})["']?\s*(?:[:=]{{1,2}}>?|=>|:=|\s)\s*(?:bearer\s+)?(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{{SHORTEST},}})(?P=q)|(?P<bare>[^\s"'`()\[\]{{}}<>,;]{{{SHORTEST},}}))""")
 BLOCK = re.compile(r"-----BEGIN (?P<name>[A-Z ]*PRIVATE KEY(?: BLOCK)?)-----(?P<quoted>[\w+/=\s:,.\\-]+?)-----END")
 #: What a text must match for its candidates to be looked for; the same words, for Spark.
-SPARK = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|private[\s_-]?key|credential|auth|bearer|client[_-]?key|signature|session[_-]?id)"
+SPARK = r"(?i)(token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|private[\s_-]?key|credential|auth|bearer|client[ _-]?key|signature|session[_-]?id)"
 #: Strings that code is full of: names, placeholders, alphabets. The last bytes are the cheapest to refer to.
 IDENTIFIERS = " ".join(
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 0123456789abcdef 1234567890 0000000000000000 ffffffffffffffff xxxxxxxxxxxxxxxx "
@@ -56,14 +58,16 @@ def marginal(candidate: bytes, around: bytes) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, name) of candidates, in order; of those that overlap the first."""
-    at = -1
-    found = [(m, BLOCK) for m in BLOCK.finditer(text)] + [(m, ASSIGNED) for m in ASSIGNED.finditer(text)]
-    for m, kind in sorted(found, key=lambda x: x[0].start()):
-        part = "quoted" if kind is BLOCK or m["quoted"] else "bare"
-        if m.start(part) >= at:
-            at = m.end(part)
-            yield m.start(part), at, m["name"].strip()
+    """(start, end, name) of candidates, in order. They may overlap: the search goes on behind a name, not behind its value,
+    which may be the name of the next. Bare values that are words or identifiers are none."""
+    found = [(m.start("quoted"), m.end("quoted"), m["name"].strip()) for m in BLOCK.finditer(text)]
+    m = ASSIGNED.search(text)
+    while m:
+        part = "quoted" if m["quoted"] else "bare"
+        if m["quoted"] or not _wordlike(m["bare"]):
+            found.append((m.start(part), m.end(part), m["name"]))
+        m = ASSIGNED.search(text, m.end("name"))
+    yield from sorted(found, key=lambda x: (x[0], -x[1]))
 
 
 def judge(text: str, start: int, end: int) -> tuple[int, float]:
@@ -85,8 +89,11 @@ def random_size(secret: str, size: int) -> float:
     return size * math.log2(symbols) / 8
 
 
-def _plausible(secret: str) -> bool:
-    return len(set(secret)) >= VARIETY and any(c.isdigit() for c in secret) and any(c.isalpha() for c in secret)
+def _wordlike(value: str) -> bool:
+    """Whether a value without quotes reads as prose or code: letters and joints only, in words of some length."""
+    humps = HUMP.findall(value)
+    letters = sum(map(len, humps))
+    return letters >= LONG * len(humps) and letters + sum(c in JOINTS for c in value) == len(value)
 
 
 def scan(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
@@ -94,7 +101,8 @@ def scan(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     characters), digest (SHA-256), length, marginal_bytes and novelty (marginal bytes a byte of a random string of its alphabet).
 
     Whole texts are read. Null and empty texts have none. Repeated rows give repeated rows, and a null doc_id is carried along. A secret
-    that stands in a text several times has a row for each place. An empty table gives an empty result. Other columns are not read.
+    that stands in a text several times has a row for each place. Of reported candidates that overlap the first counts. A
+    value without quotes that is letters only and reads as words is taken for prose or code and not measured. An empty table gives an empty result. Other columns are not read.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +111,14 @@ def scan(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
         for piece in slices(batches, "text"):
             out = []
             for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
+                at = -1
                 for start, end, name in candidates(text):
-                    secret = text[start:end]
-                    if not _plausible(secret):
+                    if start < at:
                         continue
+                    secret = text[start:end]
                     cost, share = judge(text, start, end)
                     if share >= novelty:
+                        at = end
                         out.append((doc, start, end, name, secret[:4], hashlib.sha256(secret.encode("utf-8", "replace")).hexdigest(), end - start, cost, round(share, 4)))
             if out:
                 c = list(zip(*out))

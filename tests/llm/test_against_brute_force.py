@@ -123,6 +123,25 @@ def test_long_secrets_of_small_alphabets(spark, kind, length):
     assert secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == len(rows)
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('# API token\nGITHUB_ACCESS_TOKEN = "ghp_Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"', "ghp_Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"),
+        ('the secret\nclient_secret_value: "Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"', "Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"),
+        ('secret_key = "qZvKxJwPbNmTrHdGyLcF"', "qZvKxJwPbNmTrHdGyLcF"),
+        ('secret_key = "90417265830962748135"', "90417265830962748135"),
+        ("password=Zq8!Wn$3@Rt#6Yx", "Zq8!Wn$3@Rt#6Yx"),
+        ("password: Zq8WnZq3WnRt", "Zq8WnZq3WnRt"),
+        ("api key: Zq8Wn3Rt6Yx1Vb5K", "Zq8Wn3Rt6Yx1Vb5K"),
+        ("authentication understanding and token internationalization", None),
+        ("token = response.accessToken and secret: configuration_value_name", None),
+    ],
+)
+def test_no_candidate_is_lost(spark, text, secret):
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [text[x["start"] : x["end"]] for x in got] == ([secret] if secret else [])
+
+
 def test_secret_far_into_a_long_text(spark):
     text = "plain words of a page. " * 40_000 + 'secret_key = "Zq8Wn3Rt6Yx1Vb5Kp0Lm7Hd2"' + " more words" * 40_000
     assert secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
