@@ -21,8 +21,6 @@ from .words import buffer, mix
 DIMENSIONS = 1024
 #: Labelled documents a language whose whole texts make its prototype, in expectation (the documented bound).
 SAMPLE = 400
-#: A label with fewer rows than this share of the labelled rows gets no prototype.
-LEAST_SHARE = 0.001
 #: Cosine with the nearest prototype below which a document is in no known language.
 FLOOR = 0.30
 #: Trigrams from which the floor applies: a shorter text has too little evidence to be rejected by it.
@@ -100,10 +98,9 @@ def bundle(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from about `sample` labelled documents each (all, where there are
-    fewer), picked by a hash of doc_id. Only one sum of DIMENSIONS numbers a language reaches the driver."""
+    fewer), picked by a hash of doc_id. Every label has one, however rare. Only one sum of DIMENSIONS numbers a language reaches the driver."""
     counts = {r[0]: r[1] for r in docs.filter("lang is not null").groupBy("lang").count().collect()}
-    total = sum(counts.values())
-    rates = {k: min(1.0, sample / v) for k, v in counts.items() if v >= LEAST_SHARE * total}
+    rates = {k: min(1.0, sample / v) for k, v in counts.items()}
     if not rates:
         return [], np.zeros((0, DIMENSIONS), np.float32)
     spark = docs.sparkSession

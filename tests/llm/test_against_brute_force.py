@@ -53,6 +53,19 @@ def test_language_of_held_out_documents(docs):
     assert n > 50 and right >= 0.98 * n
 
 
+def test_a_rare_language_has_a_prototype(spark):
+    """Three labelled documents of 5,003, as many as in a small table."""
+    r = random.Random(3)
+    say = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(i, say("abcdefgh", 10), "en") for i in range(5_000)] + [(5_000 + i, say("αβγδεζηθ", 100), "el") for i in range(3)]
+    rows.append((6_000, say("αβγδεζηθ", 100), None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.identify(docs).filter("doc_id >= 5000").collect()
+    assert len(got) == 4 and all(x["language"] == "el" and x["keep"] for x in got)
+    assert language.keep_known(docs).filter("doc_id >= 5000").count() == 4
+
+
+
 def test_archives_round_trip(spark, docs, tmp_path):
     index = archive.write_archives(docs, f"file://{tmp_path}", archive=20_000)
     assert index.select("archive").distinct().count() > 3
