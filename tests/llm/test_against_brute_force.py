@@ -251,6 +251,23 @@ def test_passages_with_unlike_words_between(spark, passage, count, gap):
     assert all(60 + n * (passage + gap) + i in covered for n in range(count) for i in range(passage))
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    """C and B share 60 to 90 words; two earlier documents hold a half each, which is too short to count."""
+    r = random.Random(9)
+    say = lambda n: [f"v{r.randrange(50_000)}" for _ in range(n)]
+    rows, size = [], {}
+    for k in range(30):
+        x, y = say(n := r.choice([30, 40, 45])), say(n)
+        size[4 * k + 3] = 2 * n
+        rows += [(4 * k + i, " ".join(say(70) + w + say(70))) for i, w in enumerate((x, y, x + y, x + y))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    covered = {}
+    for g in got:
+        if g["source_doc_id"] == g["doc_id"] - 1:
+            covered.setdefault(g["doc_id"], set()).update(range(g["start_word"], g["end_word"]))
+    assert all(set(range(70, 70 + n)) <= covered.get(d, set()) for d, n in size.items())
+
+
 def test_passages_cover_what_brute_force_finds(spark, docs, plain):
     """Windows of 50 equal words that an earlier document holds lie in reported passages."""
     first, need = {}, []
