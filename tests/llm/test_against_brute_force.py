@@ -160,15 +160,16 @@ def test_secret_far_into_a_long_text(spark):
     assert secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).count() == 1
 
 
-@pytest.mark.parametrize(("n", "d", "shard"), [(1, 3, 8192), (7, 1, 8192), (400, 5, 64), (300, 16, 97)])
-def test_topk(spark, monkeypatch, n, d, shard):
+@pytest.mark.parametrize(("n", "d", "shard", "block", "every"), [(1, 3, 4096, 100, 1), (7, 1, 4096, 100, 1), (400, 5, 64, 100, 1), (300, 16, 97, 7, 1), (900, 12, 128, 100, 20)])
+def test_topk(spark, monkeypatch, n, d, shard, block, every):
     monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "BLOCK", block)
     r = np.random.RandomState(n)
     x = np.round(r.randn(n, d), 1).astype(np.float32)  # rounded, so that there are ties
     x[n // 2 :] = x[: n - n // 2]
-    got = topk.top_k(spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id bigint, embedding array<float>"), k=4)
+    got = topk.top_k(spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id bigint, embedding array<float>"), k=4, every=every)
     want = []
-    for i in range(n):
+    for i in range(0, n, every):
         s = x.astype(np.float64) @ x[i].astype(np.float64)
         order = sorted((j for j in range(n) if j != i), key=lambda j: (-round(s[j], 9), j))[:4]
         want += [(i, k, j, round(float(s[j]), 6) + 0.0) for k, j in enumerate(order, 1)]
@@ -178,13 +179,32 @@ def test_topk(spark, monkeypatch, n, d, shard):
     assert np.allclose(exact, [r[3] for r in rows], atol=1e-6)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_a_shard_gives_all_that_qualify(seed):
+    """Lists of random, clustered and equal vectors, with thresholds from none to beyond all scores."""
+    r = np.random.RandomState(seed)
+    x = (r.randn(500, 9) * r.choice([0.1, 1, 3], 9) + r.choice([0, 2], (500, 1))).astype(np.float32)
+    x[100:150] = x[0]
+    q = np.concatenate([x[:20], r.randn(20, 9), np.zeros((1, 9))]).astype(np.float32)
+    score = q.astype(float) @ x.T.astype(float)
+    for least in (np.full(41, -np.inf), np.sort(score, 1)[:, -6], np.sort(score, 1)[:, -200], score.max(1) + 1):
+        own, item, exact = topk.Lists.of(x).search(q, least, 5)
+        assert np.allclose(score[own, item], exact)
+        for i in range(41):
+            kth = np.sort(score[i])[-5]
+            assert set(np.flatnonzero(score[i] >= max(kth, least[i]))) <= set(item[own == i])
+
+
 def test_bounds_let_reading_stop():
-    """Where a few items stand out, the lists are not read to the end."""
+    """Where others stand out, a shard's lists are left early; where some of its items do, they are resolved."""
     r = np.random.RandomState(0)
     x = r.rand(2000, 6).astype(np.float32) * 0.1
+    lists = topk.Lists.of(x)
+    own, _, _ = lists.search(np.ones((3, 6), np.float32), np.full(3, 0.7), 10)
+    assert not len(own) and lists.read * 6 <= 0.05 * x.size
     x[:12] += 2
-    found = topk.Shard(x).best(np.ones((3, 6), np.float32), 10)
-    assert all(len(f) <= 40 and set(np.argsort(-(x @ np.ones(6)))[:10]) <= set(f) for f in found)
+    own, item, _ = topk.Lists.of(x).search(np.ones((3, 6), np.float32), np.full(3, 5.0), 10)
+    assert set(np.argsort(-(x @ np.ones(6)))[:10]) <= set(item) <= set(range(12))
 
 
 def test_near_duplicates(spark):

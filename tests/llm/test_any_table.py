@@ -115,10 +115,16 @@ def test_defined_results(spark, sf, folder):
 
 
 def test_topk_of_odd_tables(spark):
-    schema = "vec_id bigint, embedding array<float>, label int, id string, v string, at string, part string"
+    schema = "vec_id bigint, embedding array<float>, label int, id string, v string, at string, part string, d string"
+    inf = float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, None, 1), (None, [1.0, 1.0], 1), (5, [1.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (8, [], 1), (9, [-1.0, 0.0], None)]
-    df = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], schema)
-    got = [tuple(r) for r in topk.top_k(df, k=2).orderBy("query_id", "rank").collect()]
-    assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0), (9, 1, 3, 0.0), (9, 2, 1, -1.0)]
+    rows += [(10, [1.0, inf], 1), (11, [-inf, 0.0], 1), (12, [2.0], 1), (13, [3.0], 1)]
+    df = spark.createDataFrame([(*r, "x", "x", "x", "x", "x") for r in rows], schema)
+    got = [tuple(r) for r in topk.top_k(df, k=2, every=1).orderBy("query_id", "rank").collect()]
+    assert got == [
+        (1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0), (5, 1, 13, 3.0), (5, 2, 12, 2.0), (9, 1, 3, 0.0), (9, 2, 1, -1.0),
+        (12, 1, 13, 6.0), (12, 2, 5, 2.0), (13, 1, 12, 6.0), (13, 2, 5, 3.0),
+    ]
+    assert {r["query_id"] for r in topk.top_k(df, k=2, every=3).collect()} == {3, 9, 12}
     assert topk.top_k(df.limit(0)).count() == 0
-    assert topk.top_k(df.filter("vec_id = 1")).count() == 0
+    assert topk.top_k(df.filter("vec_id = 1"), every=1).count() == 0
