@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables that written() has made in this process and release() has not deleted.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session; only where that is unset (tests, one
     machine) a folder of our own, which then is made the session's checkpoint folder."""
@@ -21,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at and known.isDefined():
         at = known.get()
     if not at:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="graphloom-")
     if not known.isDefined():
         sc.setCheckpointDir(at)
@@ -31,9 +37,25 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: cuts lineage and survives the loss of executors."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables written since there were `since` of them, but for the last `keep`. Only for a caller that has
+    written, as one of those kept, all that it wants of them."""
+    jvm = spark.sparkContext._jvm
+    for at in _WRITTEN[since : len(_WRITTEN) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+
+
+def tables() -> int:
+    """How many tables written() has made that are still there."""
+    return len(_WRITTEN)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that no column of df has in any case."""
     taken = {c.lower() for c in df.columns}
@@ -117,13 +139,16 @@ def batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
 
 
 def once_per_id(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is in `decided` (key, copies), one per key: only keys that several rows carry, if there
-    are any, are shuffled for that."""
+    """The rows of docs whose key is in `decided` (key, copies), one per key, of several the one with the least hash: only
+    keys that several rows carry, if there are any, are shuffled for that, and combined before."""
     (k, n) = fresh(docs, "_keep_id", "_copies")
     d = decided.select(F.col(key).alias(k), F.col("copies").alias(n))
     kept = docs.join(d, F.col(f"`{key}`") == F.col(k), "inner")
     if not decided.filter("copies > 1").limit(1).count():
         return kept.select(docs.columns)
-    one = kept.filter(F.col(n) == 1)
-    several = kept.filter(F.col(n) > 1).dropDuplicates([key])
-    return one.union(several).select(docs.columns)
+    one = kept.filter(F.col(n) == 1).select(docs.columns)
+    # rows of one key may differ: the one with the least hash stays, whatever their order
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = kept.filter(F.col(n) > 1).groupBy(F.col(k).alias(k)).agg(F.min_by(row, hashed).alias(n)).select(f"{n}.*")
+    return one.union(several)

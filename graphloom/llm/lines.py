@@ -18,12 +18,14 @@ SITES = 8
 #: Lines whose estimate is within this factor of the threshold are counted exactly; the sketch's standard error is 1.6 %.
 NEAR = 1.25
 LOG_K = 12
+#: What a line is trimmed of, and what a blank line consists of.
+BLANK = " \t\r\x0b\x0c"
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, site, place, line_hash) of every non-blank line of every row that has a doc_id."""
     parts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").alias("site"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    line = F.trim("line")
+    line = F.trim("line", F.lit(BLANK))
     return parts.filter(line != "").select("doc_id", "text_hash", "site", "place", F.xxhash64(line).alias("line_hash"))
 
 
@@ -41,7 +43,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs with boilerplate lines removed from text, and the columns lines_removed and lines_left (non-blank ones).
 
-    A line counts trimmed of spaces, blank lines are left alone, and the lines that stay keep their order and their spaces. The first
+    A line counts trimmed of spaces, tabs, carriage returns and feeds, lines of nothing else are left alone, and the lines that stay keep their order and their spaces. The first
     place of a line is its least doc_id and line number; of repeated rows each keeps it. A null or empty text stays
     as it is with 0 lines; a row with a null doc_id is not judged and stays as it is, with lines_removed 0. A null source
     is no site. An empty table gives an empty table; other columns pass through.
@@ -56,7 +58,7 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(parts, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text)
-    some = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
+    some = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANK)) != ""))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(removed), some.alias(left))
 
 
@@ -65,20 +67,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "lines_removed", "lines_left")
 
 
+_TRIMMED = f"trim({{}}, {' || '.join(f'chr({ord(c)})' for c in BLANK)})"
 OP3_SQL = f"""
 WITH parts AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL
 ), spread AS (
-  SELECT trim(line) AS line, min((doc_id, place)) AS first FROM parts WHERE trim(line) <> ''
+  SELECT {_TRIMMED.format('line')} AS line, min((doc_id, place)) AS first FROM parts WHERE {_TRIMMED.format('line')} <> ''
   GROUP BY 1 HAVING count(DISTINCT source) >= {SITES}
 ), marked AS (
   SELECT p.doc_id, p.place, p.line, coalesce((p.doc_id, p.place) <> s.first, false) AS gone
-  FROM parts p LEFT JOIN spread s ON trim(p.line) = s.line
+  FROM parts p LEFT JOIN spread s ON {_TRIMMED.format('p.line')} = s.line
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
   CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS lines_removed,
-  CAST(count(*) FILTER (WHERE NOT gone AND trim(line) <> '') AS INTEGER) AS lines_left
+  CAST(count(*) FILTER (WHERE NOT gone AND {_TRIMMED.format('line')} <> '') AS INTEGER) AS lines_left
 FROM marked GROUP BY doc_id
 """
 

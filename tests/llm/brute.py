@@ -46,15 +46,15 @@ def dedup_lines(rows, sites=lines.SITES):
     spread, first = defaultdict(set), {}
     for i, text, source in sorted(rows, key=lambda r: r[0]):
         for p, line in enumerate((text or "").split("\n")):
-            line = line.strip(" ")
+            line = line.strip(lines.BLANK)
             if line:
                 spread[line] |= {source} - {None}
                 first.setdefault(line, (i, p))
     out = {}
     for i, text, _ in rows:
         parts = (text or "").split("\n")
-        keep = [x for p, x in enumerate(parts) if not x.strip(" ") or len(spread[x.strip(" ")]) < sites or first[x.strip(" ")] == (i, p)]
-        out[i] = ("\n".join(keep) if text is not None else None, len(parts) - len(keep), sum(1 for x in keep if x.strip(" ")))
+        keep = [x for p, x in enumerate(parts) if not x.strip(lines.BLANK) or len(spread[x.strip(lines.BLANK)]) < sites or first[x.strip(lines.BLANK)] == (i, p)]
+        out[i] = ("\n".join(keep) if text is not None else None, len(parts) - len(keep), sum(1 for x in keep if x.strip(lines.BLANK)))
     return out
 
 

@@ -90,13 +90,33 @@ def test_archives_round_trip(spark, docs, tmp_path):
     (tmp_path / "short.zst").write_bytes(data[:-1])
     with pytest.raises(ValueError):
         archive.open_archive(str(tmp_path / "short.zst"))
+    # any zstandard reader makes the same of the whole file, skippable frames and all
+    whole = zstandard.ZstdDecompressor().stream_reader(open(row["archive"].removeprefix("file://"), "rb"), read_across_frames=True).read()
+    assert len(whole) == 2 * index.filter(F.col("archive") == row["archive"]).agg(F.sum("tokens")).first()[0]
+    (tmp_path / "lost.part").write_bytes(b"x")
+    assert archive.remove_orphans(index, f"file://{tmp_path}") == 3 and archive.read_archives(index).count() == len(want)
+
+
+def test_archives_of_wide_tokens(spark, tmp_path):
+    """Token IDs beyond 16 bits, of a vocabulary of bytes and long words, come back as they were."""
+    import base64
+
+    vocabulary = [bytes([i]) for i in range(256)] + [b"%06d" % i for i in range(70_000)]
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(vocabulary)))
+    docs = spark.createDataFrame([(1, "069999 000001"), (2, ""), (3, "plain")], "doc_id bigint, text string")
+    index = archive.write_archives(docs, f"file://{tmp_path}/archives", str(path))
+    encode = tokens.encoding(str(path)).encode_ordinary
+    got = {r["doc_id"]: r["ids"] for r in archive.read_archives(index).collect()}
+    assert got == {i: encode(t) for i, t in ((1, "069999 000001"), (2, ""), (3, "plain"))} and max(got[1]) > 1 << 16
+    assert {r["width"] for r in index.collect()} == {4}
 
 
 @pytest.mark.parametrize("sites", [2, 3, 8])
 def test_lines(spark, sites):
     r = random.Random(sites)
     pool = [f"line {i} of the pool" for i in range(12)]
-    rows = [(i, "\n".join(r.choice(["", "  ", *pool, f"own {i}", "  padded  "]) for _ in range(r.randrange(12))), r.choice([None, *"abcdefghijkl"])) for i in range(60)]
+    rows = [(i, "\n".join(r.choice(["", "  ", "\t", " \r", "\r", *pool, pool[0] + "\r", f"own {i}", "  padded  "]) for _ in range(r.randrange(12))), r.choice([None, *"abcdefghijkl"])) for i in range(60)]
     got = {x["doc_id"]: (x["text"], x["lines_removed"], x["lines_left"]) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), sites).collect()}
     assert got == brute.dedup_lines(rows, sites)
 

@@ -104,6 +104,9 @@ def test_defined_results(spark, sf, folder):
     assert None not in near and near[2]["group_id"] == 1 and near[2]["copies"] == 2 and not near[2]["keep"] and near[3]["keep"] and near[4]["keep"]
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {None, 1, 3, 4, 5, 6, 7, 8, 9, 10}
     assert simhash.keep_one(docs).filter("doc_id = 9").count() == 1
+    mixed = spark.createDataFrame([(1, f"text number {i}", "en", "a", i) for i in range(20)], SCHEMA)
+    kept = {tuple(r) for n in (1, 3, 7) for r in simhash.keep_one(mixed.repartition(n)).collect()}
+    assert len(kept) == 1
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark(spark)).collect()}
     assert found == {(1, 1), (2, 1), (6, 1)}
     assert decontaminate.find_leaks(docs, benchmark(spark, [])).count() == 0
