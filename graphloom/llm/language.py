@@ -2,7 +2,10 @@
 
 Every letter has a random vector of +1 and -1. A trigram's vector binds its letters' vectors, each permuted by its place,
 by elementwise product; a document's vector bundles (adds) those of all its trigrams; a language's prototype bundles the
-unit vectors of the labelled documents in its sample. A document gets the language with the largest cosine.
+unit vectors of the labelled documents in its sample. A document gets the language with the largest cosine. A text of n
+trigrams, of which two are equal with probability c in its language, has an expected cosine of sqrt(n c / (n c + 1 - c))
+with its language's prototype, and with others one about 0 that deviates by 1 / sqrt(DIMENSIONS): so the floor under which it is
+in no known language grows with its length, by one rule for all lengths.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from .words import buffer, mix
 DIMENSIONS = 1024
 #: Labelled documents a language whose whole texts make its prototype, in expectation (the documented bound).
 SAMPLE = 400
-#: Cosine with the nearest prototype below which a document is in no known language.
-FLOOR = 0.30
-#: Trigrams from which the floor applies: a shorter text has too little evidence to be rejected by it.
-FULL = 200
+#: Share of the cosine expected of a text of its length below which a document is in no known language, and deviations of
+#: a chance cosine by which it must fall short.
+FLOOR, DEVIATIONS = 0.3, 3.0
+#: Counts (documents by distinct trigrams) and vectors (trigrams by dimensions) that are held at once.
+HELD = 1 << 22
 SCHEMA = [("doc_id", pa.int64()), ("lang", pa.string()), ("language", pa.string()), ("cosine", pa.float64()), ("margin", pa.float64()), ("trigrams", pa.int64()), ("keep", pa.bool_())]
 
 _PERM = np.random.RandomState(11).permutation(DIMENSIONS)
@@ -91,18 +95,31 @@ def bundle(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     letters = letter_vectors(alphabet)
     once = letters[:, _PERM]
     twice = once[:, _PERM]
-    v = (twice[grams // (r * r)] * once[grams // r % r] * letters[grams % r]).astype(np.float32)
-    counts = np.bincount(owner.astype(np.int64) * len(grams) + where, minlength=n * len(grams)).reshape(n, -1).astype(np.float32)
-    return counts @ v, np.bincount(owner, minlength=n)
-
-
-def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their unit prototypes, from about `sample` labelled documents each (all, where there are
-    fewer), picked by a hash of doc_id. Every label has one, however rare. Only one sum of DIMENSIONS numbers a language reaches the driver."""
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    step = max(1, HELD // max(n, DIMENSIONS))
+    owner = owner.astype(np.int64)
+    for low in range(0, len(grams), step):
+        g = grams[low : low + step]
+        mine = slice(None) if len(g) == len(grams) else (where >= low) & (where < low + step)
+        v = (twice[g // (r * r)] * once[g // r % r] * letters[g % r]).astype(np.float32)
+        counts = np.bincount(owner[mine] * len(g) + where[mine] - low, minlength=n * len(g)).reshape(n, -1).astype(np.float32)
+        out += counts @ v
+    return out, np.bincount(owner, minlength=n)
+
+
+def floors(n: np.ndarray, repeat: float) -> np.ndarray:
+    """The cosine that a text of n trigrams must reach, where two trigrams of a language are equal with probability `repeat`."""
+    expected = np.sqrt(n * repeat / np.maximum(n * repeat + 1 - repeat, 1e-9))
+    return FLOOR * expected - DEVIATIONS / np.sqrt(DIMENSIONS) * (1 - expected)
+
+
+def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+    """Languages in order, their unit prototypes and the probability that two trigrams of a document are equal, from about `sample` labelled documents each (all, where there are
+    fewer), picked by a hash of doc_id. Every label has one, however rare. Only one sum of DIMENSIONS + 2 numbers a language reaches the driver."""
     counts = {r[0]: r[1] for r in docs.filter("lang is not null").groupBy("lang").count().collect()}
     rates = {k: min(1.0, sample / v) for k, v in counts.items()}
     if not rates:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
+        return [], np.zeros((0, DIMENSIONS), np.float32), 0.0
     spark = docs.sparkSession
     few = spark.createDataFrame([(k, float(r)) for k, r in rates.items()], "_label string, _rate double")
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1_000_000)) / F.lit(1e6)
@@ -112,9 +129,9 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
         total: dict[str, np.ndarray] = {}
         for piece in slices(batches, "text"):
             v, n = bundle(piece.column("text"))
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            # in proportion to length up to a point: a text of a word or two says little
-            v *= np.minimum(n / FULL, 1.0)[:, None]
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            # the longer a text, the less chance is in its direction: bundled by the root of its length
+            v = np.concatenate([v / np.maximum(size, 1e-9) * np.sqrt(n)[:, None], size**2 / DIMENSIONS - n[:, None], (n * (n - 1.0))[:, None]], axis=1)
             names = np.array(piece.column("lang").to_pylist())
             for k in np.unique(names):
                 total[k] = total.get(k, 0) + v[names == k].sum(0, dtype=np.float64)
@@ -123,23 +140,23 @@ def prototypes(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
 
     rows = arrow(picked, sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     made = {r["lang"]: np.array([p["x"] for p in r["v"]]) for r in rows}
-    names = sorted(k for k, v in made.items() if np.linalg.norm(v) > 0)
+    names = sorted(k for k, v in made.items() if np.linalg.norm(v[:DIMENSIONS]) > 0)
     # sums in another order differ in the last digits; rounding makes the prototypes the same in every run
-    p = np.array([np.round(made[k] / np.linalg.norm(made[k]), 7) for k in names], np.float32).reshape(len(names), DIMENSIONS)
-    return names, p
+    p = np.array([np.round(made[k][:DIMENSIONS] / np.linalg.norm(made[k][:DIMENSIONS]), 7) for k in names], np.float32).reshape(len(names), DIMENSIONS)
+    equal, pairs = sum(made[k][-2] for k in names), sum(made[k][-1] for k in names)
+    return names, p, round(min(max(equal / pairs, 0.0), 1.0), 7) if names and pairs else 0.0
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE, floor: float = FLOOR) -> DataFrame:
+def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """A row for each row of docs: doc_id, lang (as declared), language, cosine and margin (over the second language),
     trigrams, keep.
 
-    keep is false only for texts without letters and texts of FULL trigrams or more whose largest cosine is under the
-    floor; a declared language
-    that differs is no reason to reject. A null or empty text: language null, cosine 0, keep false. Repeated rows
+    keep is false only for texts without letters and texts whose largest cosine is under the floor for their length, which
+    is under 0 for a few words; a declared language that differs is no reason to reject. A null or empty text: language null, cosine 0, keep false. Repeated rows
     give repeated rows, a null doc_id or lang is carried along. Equal cosines: the first language by name. Without any
     labelled row, language is null and every text with letters is kept. An empty table gives an empty table.
     """
-    names, protos = prototypes(docs, sample)
+    names, protos, repeat = prototypes(docs, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -153,7 +170,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, floor: float = FLOOR) -> Dat
                 rest[np.arange(rows), best] = -1
                 margin = np.where(len(names) > 1, top - rest.max(1), top)
                 language = [names[k] if m else None for k, m in zip(best, n)]
-                keep = (n > 0) & ((top >= floor) | (n < FULL))
+                keep = (n > 0) & (top >= floors(n, repeat))
             else:
                 top, margin, language, keep = np.zeros(rows), np.zeros(rows), [None] * rows, n > 0
             some = n > 0
@@ -169,7 +186,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without the rows that identify() rejects, all columns as they were. Null and empty
     texts go, repeated rows and rows with a null doc_id or lang are judged by their text like others."""
-    names, protos = prototypes(docs)
+    names, protos, repeat = prototypes(docs)
 
     @F.arrow_udf("boolean")
     def known(text: pa.Array) -> pa.Array:
@@ -177,7 +194,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
         for piece in slices([pa.RecordBatch.from_arrays([text], names=["text"])], "text"):
             v, n = bundle(piece.column("text"))
             top = ((v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]).max(1) if names else np.ones(len(n))
-            out.append((n > 0) & ((top >= FLOOR) | (n < FULL)))
+            out.append((n > 0) & (top >= floors(n, repeat)))
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(known(F.col("text")))

@@ -32,13 +32,18 @@ def profile(text):
 
 def known_languages(rows):
     """Ids of (doc_id, text, lang) rows that are kept; all labelled rows make the prototypes."""
+    equal, pairs = 0.0, 0
     made, sums = {}, defaultdict(lambda: np.zeros(language.DIMENSIONS))
     for i, text, lang in rows:
         made[i] = v, n = profile(text)
         if lang is not None and n:
-            sums[lang] += v / np.linalg.norm(v) * min(n / language.FULL, 1)
-    protos = [p / np.linalg.norm(p) for p in sums.values()]
-    return {i for i, (v, n) in made.items() if n and (n < language.FULL or max(v @ p for p in protos) / np.linalg.norm(v) >= language.FLOOR)}
+            sums[lang] += v / np.linalg.norm(v) * n**0.5
+            equal += v @ v / language.DIMENSIONS - n
+            pairs += n * (n - 1)
+    protos, c = [p / np.linalg.norm(p) for p in sums.values()], equal / pairs
+    expected = lambda n: (n * c / (n * c + 1 - c)) ** 0.5
+    floor = lambda n: language.FLOOR * expected(n) - language.DEVIATIONS / language.DIMENSIONS**0.5 * (1 - expected(n))
+    return {i for i, (v, n) in made.items() if n and max(v @ p for p in protos) / np.linalg.norm(v) >= floor(n)}
 
 
 def dedup_lines(rows, sites=lines.SITES):

@@ -65,6 +65,27 @@ def test_a_rare_language_has_a_prototype(spark):
     assert language.keep_known(docs).filter("doc_id >= 5000").count() == 4
 
 
+@pytest.mark.parametrize("size", [40, 80, 300, 3000, 60_000])
+def test_unknown_letters_go_at_every_length(spark, docs, size):
+    """One rule for all lengths: texts of random letters go, a known language's texts of the same length stay."""
+    r = random.Random(size)
+    known = " ".join(x["text"] for x in docs.filter("lang = 'en' and n_chars > 300").orderBy("doc_id").limit(60).collect())
+    junk = ["".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(size)) for _ in range(10)]
+    part = [(known * 2)[a : a + size] for a in range(0, len(known), len(known) // 10)][:10]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk + part)], "doc_id bigint, text string, lang string"))
+    kept = {x["doc_id"] - 10**6 for x in language.keep_known(rows).filter(f"doc_id >= {10**6}").collect()}
+    assert len(kept & set(range(10))) <= 1 and kept >= set(range(10, 20))
+
+
+def test_a_text_of_many_letters_is_bundled_in_parts():
+    """A million letters of a large alphabet: nearly every trigram is another one; the sums are those of its parts."""
+    r = np.random.RandomState(0)
+    text = "".join(map(chr, 0x4E00 + r.randint(0, 20_000, 200_000)))
+    v, n = language.bundle(pa.array([text]))
+    halves, m = language.bundle(pa.array([text[:100_000], text[100_000:]]))
+    # but for the two trigrams that each cut adds and the two that it parts
+    assert n[0] == len(text) and m.sum() == len(text) and np.abs(v[0] - halves.sum(0)).max() <= 4
+
 
 def test_archives_round_trip(spark, docs, tmp_path):
     index = archive.write_archives(docs, f"file://{tmp_path}", archive=20_000)
