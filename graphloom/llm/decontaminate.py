@@ -1,6 +1,6 @@
 """Operator 10, benchmark decontamination by a prefix-filtered set join.
 
-A benchmark item is the set of its shingles of WORDS words, ordered by rarity over all documents, the rarest first. A
+A benchmark item is the set of its shingles of WORDS words (an item of fewer words is one shingle, all of it), ordered by rarity over all documents, the rarest first. A
 window that holds at least t of an item's n shingles holds one of its n - t + 1 rarest, so only those are joined with
 the documents' shingles. A match bounds the windows around it by position; a document with fewer than t shingles is
 left out by length. What is left is verified: the exact containment of the item in each window of the item's size.
@@ -27,12 +27,12 @@ BLOCK = 2_000_000
 
 
 def item_sets(benchmark: DataFrame, k: int = WORDS) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-    """Blocks of (item_id, words, distinct shingles); items of fewer than k words are too short to tell and left out."""
+    """Blocks of (item_id, words, distinct shingles): of k words, or of all words of a shorter item."""
     block, size = [], 0
     for row in texts(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct().toLocalIterator():
         h = of_text(row[1])
-        if len(h) >= k:
-            block.append((row[0], len(h), np.unique(shingles(h, k))))
+        if len(h):
+            block.append((row[0], len(h), np.unique(shingles(h, min(k, len(h))))))
             size += len(block[-1][2])
         if size >= BLOCK:
             yield block
@@ -66,6 +66,27 @@ def _shingled(piece: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np
     return s, owner, at
 
 
+def _short(block: list[tuple[int, int, np.ndarray]], k: int) -> dict[int, dict[int, list[int]]]:
+    """Items of fewer than k words: {words: {shingle: item_ids}}."""
+    out: dict[int, dict[int, list[int]]] = {}
+    for item, size, members in block:
+        if size < k:
+            out.setdefault(size, {}).setdefault(int(members[0]), []).append(item)
+    return out
+
+
+def _short_leaks(piece: pa.RecordBatch, short: dict[int, dict[int, list[int]]]) -> Iterator[tuple[int, int, int]]:
+    """(document, item_id, start) of the first place of each short item in each document of the batch."""
+    for size, items in short.items():
+        s, owner, at = _shingled(piece, size)
+        pos, _ = Filter(np.array(list(items), np.uint64)).find(s)
+        pos = pos[pos + size <= at[owner[pos] + 1]]
+        _, first = np.unique(np.column_stack([owner[pos].astype(np.uint64), s[pos]]), axis=0, return_index=True)
+        for p in pos[first].tolist():
+            for item in items[int(s[p])]:
+                yield int(owner[p]), item, p - int(at[owner[p]])
+
+
 def containment(s: np.ndarray, members: np.ndarray, length: int) -> tuple[int, int]:
     """The most distinct members (sorted hashes) that `length` successive shingles of s hold, and where those begin."""
     where = np.minimum(np.searchsorted(members, s), len(members) - 1)
@@ -89,8 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT
     """(doc_id, item_id, containment, start_word) for each document and item of which a window of the item's number of
     words holds at least `share` of the item's distinct shingles; start_word is the first such best window's.
 
-    Case, punctuation and white space do not count. Items of fewer than k words, null texts and null ids are left
-    out; a text with fewer words than an item is one window. Repeated rows of docs or benchmark give one row; where texts of one
+    Case, punctuation and white space do not count. An item of fewer than k words is contained where all its words stand in a
+    row. Items without words, null texts and null ids are left out; a text with fewer words than an item is one window. Repeated rows of docs or benchmark give one row; where texts of one
     doc_id or item_id differ, the best. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -98,7 +119,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT
     source = texts(docs.filter("doc_id is not null and text is not null"), "doc_id", "text")
     found = None
     for block in item_sets(benchmark, k):
-        every = Filter(np.concatenate([x[2] for x in block]))
+        short = spark.sparkContext.broadcast(_short(block, k))
+        block = [x for x in block if x[1] >= k]
+        # an empty block has a filter that no shingle passes but by chance, and no items behind it
+        every = Filter(np.concatenate([np.zeros(1, np.uint64), *(x[2] for x in block)]))
         shared = spark.sparkContext.broadcast(every)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -116,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT
         rarity = np.zeros(len(every.values), np.int64)
         for r in arrow(source, count, "shingle bigint, documents bigint").groupBy("shingle").agg(F.sum("documents")).collect():
             rarity[r[0]] = r[1]
-        prefix, owner_of, sets = [], [], []
+        prefix, owner_of, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for i, (item, size, members) in enumerate(block):
             where = np.searchsorted(every.values, members)
             rare = members[np.lexsort((members, rarity[where]))]
@@ -127,14 +151,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = CONTAINMENT
             sets.append((item, size, members, need))
         hashes, owners = np.concatenate(prefix), np.concatenate(owner_of)
         order = np.argsort(hashes, kind="stable")
-        heads = spark.sparkContext.broadcast((Filter(hashes), hashes[order], owners[order], sets))
+        heads = spark.sparkContext.broadcast((Filter(np.append(hashes, np.uint64(0))), hashes[order], owners[order], sets))
 
-        def verify(batches: Iterator[pa.RecordBatch], heads=heads) -> Iterator[pa.RecordBatch]:
+        def verify(batches: Iterator[pa.RecordBatch], heads=heads, short=short) -> Iterator[pa.RecordBatch]:
             known, hashes, owners, sets = heads.value
             for piece in slices(batches, "text"):
                 s, owner, at = _shingled(piece, k)
                 pos, which = known.find(s)
-                out = []
+                out = [(piece.column("doc_id")[d].as_py(), item, 1.0, start) for d, item, start in _short_leaks(piece, short.value)]
                 ranges: dict[tuple[int, int], list[list[int]]] = {}
                 for p, w in zip(pos.tolist(), which.tolist()):
                     d = int(owner[p])
@@ -182,15 +206,16 @@ _SPLIT = "regexp_extract_all(lower(text), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, {_SPLIT} AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, unnest(range(0, len(w) - {WORDS} + 1)) AS p, w FROM d WHERE len(w) >= {WORDS}),
-dsh AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {WORDS}], ' ') AS s FROM ds),
-bs AS (SELECT item_id, len(w) AS size, unnest(range(0, len(w) - {WORDS} + 1)) AS p, w FROM b WHERE len(w) >= {WORDS}),
-bsh AS (SELECT DISTINCT item_id, size, array_to_string(w[p + 1 : p + {WORDS}], ' ') AS s FROM bs),
+ks AS (SELECT DISTINCT least({WORDS}, len(w)) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS p, w FROM d, ks WHERE len(w) >= k),
+dsh AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS s FROM ds),
+bs AS (SELECT item_id, len(w) AS size, least({WORDS}, len(w)) AS k, unnest(range(0, greatest(len(w) - {WORDS}, 0) + 1)) AS p, w FROM b WHERE len(w) > 0),
+bsh AS (SELECT DISTINCT item_id, size, k, array_to_string(w[p + 1 : p + k], ' ') AS s FROM bs),
 n AS (SELECT item_id, count(*) AS n FROM bsh GROUP BY 1),
-hits AS (SELECT doc_id, item_id, size, p, s FROM dsh JOIN bsh USING (s)),
+hits AS (SELECT doc_id, item_id, size, k, p, s FROM dsh JOIN bsh USING (s, k)),
 windows AS (
   SELECT a.doc_id, a.item_id, a.p, count(DISTINCT z.s) AS held
-  FROM hits a JOIN hits z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND z.p BETWEEN a.p AND a.p + a.size - {WORDS}
+  FROM hits a JOIN hits z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND z.p BETWEEN a.p AND a.p + a.size - a.k
   GROUP BY 1, 2, 3
 )
 SELECT doc_id, item_id, round(max(held / n), 6) AS containment, arg_max(p, (held, -p)) AS start_word
