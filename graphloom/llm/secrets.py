@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow, slices, texts
 
-#: Characters of the surrounding text, before and after, that prime the dictionary; candidates longer than that are read whole.
+#: Characters of the text before and after a candidate that are its surrounding code and prime the dictionary. Candidates are read whole, however long.
 AROUND = 2048
 #: Shortest candidate, and share of the bytes that a random string of its kind costs from which it is reported.
 SHORTEST, NOVELTY = 12, 0.8
@@ -29,9 +29,16 @@ LONG = 3.5
 HUMP = re.compile(r"[^\W\d_a-z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
 JOINTS = "_.-:/=|!?*&$@#"
 LEVEL = 9
-NAME = r"[\w.-]*(?:token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth(?:orization)?|bearer|client[ _-]?key|signature|session[_-]?id)[\w.-]*"
-ASSIGNED = re.compile(rf"""(?i)(?P<name>{NAME})["']?\s*(?:[:=]{{1,2}}>?|=>|:=|\s)\s*(?:bearer\s+)?(?:(?P<q>["'`])(?P<quoted>[^"'`\s]{{{SHORTEST},}})(?P=q)|(?P<bare>[^\s"'`()\[\]{{}}<>,;]{{{SHORTEST},}}))""")
-BLOCK = re.compile(r"-----BEGIN (?P<name>[A-Z ]*PRIVATE KEY(?: BLOCK)?)-----(?P<quoted>[\w+/=\s:,.\\-]+?)-----END")
+#: Runs that names and bare words are, the words in a name that speak of credentials, and names of two words.
+RUN = re.compile(r"[\w.-]+")
+WORD = re.compile(r"(?i)token|secret|passwo?r?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|client[_-]?key|signature|session[_-]?id")
+TWO = re.compile(r"(?i)(?:api|access|private|client)$")
+#: What stands between a name and its value, a quoted value, and the stretch in which a bare one lies.
+BETWEEN = re.compile(r"""(?i)["']?+(?:\s*+(?:[:=]{1,2}+>?+)\s*+|\s++)(?:bearer\s++)?""")
+QUOTED = re.compile(rf"""(["'`])([^"'`\s]{{{SHORTEST},}}+)\1""")
+BARE = re.compile(r"""[^\s"'`()\[\]{}<>,;]++""")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?)-----")
+BLOCK = re.compile(r"[\w+/=\s:,.\\-]++")
 #: What a text must match for its candidates to be looked for; the same words, for Spark.
 SPARK = r"(?i)(token|secret|passw|pwd|api[ _-]?key|access[ _-]?key|private[\s_-]?key|credential|auth|bearer|client[ _-]?key|signature|session[_-]?id)"
 #: Strings that code is full of: names, placeholders, alphabets. The last bytes are the cheapest to refer to.
@@ -58,15 +65,41 @@ def marginal(candidate: bytes, around: bytes) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, name) of candidates, in order. They may overlap: the search goes on behind a name, not behind its value,
-    which may be the name of the next. Bare values that are words or identifiers are none."""
-    found = [(m.start("quoted"), m.end("quoted"), m["name"].strip()) for m in BLOCK.finditer(text)]
-    m = ASSIGNED.search(text)
-    while m:
-        part = "quoted" if m["quoted"] else "bare"
-        if m["quoted"] or not _wordlike(m["bare"]):
-            found.append((m.start(part), m.end(part), m["name"]))
-        m = ASSIGNED.search(text, m.end("name"))
+    """(start, end, name) of candidates, in order, in time linear in the text: every run of word characters is looked at once.
+    Candidates may overlap: the word behind a name may be the name of the next. A bare value ends where the next name with a
+    value begins, and bare values that are words or identifiers are none. A key block is what stands between a BEGIN and the next mark, if that is an END."""
+    found: list[tuple[int, int, str]] = []
+    marks = list(MARK.finditer(text))
+    for m, n in zip(marks, marks[1:]):
+        if m[1] == "BEGIN" and n[1] == "END" and BLOCK.fullmatch(text, m.end(), n.start()):
+            found.append((m.end(), n.start(), m[2].strip()))
+    bare: list[tuple[int, int, str]] = []
+    before, stretch = None, (0, 0)
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        if not WORD.search(text, start, end):
+            two = before is not None and text[before[1] : start] == " " and text[start : start + 3].lower() == "key" and TWO.search(text, before[0], before[1])
+            before = start, end
+            if not two:
+                continue
+            start = two.start()
+        before = start, end
+        m = BETWEEN.match(text, end)
+        if not m:
+            continue
+        name, at = text[start:end], m.end()
+        if q := QUOTED.match(text, at):
+            found.append((q.start(2), q.end(2), name))
+            continue
+        if not stretch[0] <= at < stretch[1]:
+            stretch = v.span() if (v := BARE.match(text, at)) else (at, at)
+        if bare and start < bare[-1][1]:
+            low, _, other = bare[-1]
+            bare[-1] = low, max(low, start), other
+        bare.append((at, max(at, stretch[1]), name))
+    for start, end, name in bare:
+        if end - start >= SHORTEST and not _wordlike(text[start:end]):
+            found.append((start, end, name))
     yield from sorted(found, key=lambda x: (x[0], -x[1]))
 
 
@@ -100,7 +133,7 @@ def scan(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """A row for each secret: doc_id, start and end (characters), name (the text before it), preview (its first 4
     characters), digest (SHA-256), length, marginal_bytes and novelty (marginal bytes a byte of a random string of its alphabet).
 
-    Whole texts are read. Null and empty texts have none. Repeated rows give repeated rows, and a null doc_id is carried along. A secret
+    Whole texts are read, in linear time. Null and empty texts have none. Repeated rows give repeated rows, and a null doc_id is carried along. A secret
     that stands in a text several times has a row for each place. Of reported candidates that overlap the first counts. A
     value without quotes that is letters only and reads as words is taken for prose or code and not measured. An empty table gives an empty result. Other columns are not read.
     """

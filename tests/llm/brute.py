@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
-from graphloom.llm import decontaminate, language, lines, packing, simhash
+from graphloom.llm import decontaminate, language, lines, packing, secrets, simhash
 
 
 def words(text):
@@ -90,13 +91,14 @@ def leaks(docs, items, share=decontaminate.CONTAINMENT, k=decontaminate.WORDS):
     out = {}
     for item, text in items:
         w = words(text)
-        own = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-        for doc, body in docs:
+        n = min(k, len(w))
+        own = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+        for doc, body in docs if w else ():
             d = words(body)
-            s = [tuple(d[i : i + k]) for i in range(len(d) - k + 1)]
+            s = [tuple(d[i : i + n]) for i in range(len(d) - n + 1)]
             hits = [i for i, x in enumerate(s) if x in own]
             for i in hits:
-                held = len({s[j] for j in hits if i <= j <= i + len(w) - k})
+                held = len({s[j] for j in hits if i <= j <= i + len(w) - n})
                 if held >= share * len(own) and held / len(own) > out.get((doc, item), (0, 0))[0]:
                     out[doc, item] = (held / len(own), i)
     return out
@@ -127,3 +129,88 @@ def pack(lengths, tiers=packing.TIERS):
                 place[i] = (t, w, tiers[t] - free[w])
                 free[w] -= lengths[i]
     return [place[i] for i in range(len(lengths))]
+
+
+KEYWORDS = "token secret passwd password pwd apikey api-key api_key accesskey access-key access_key privatekey private-key private_key credential auth bearer clientkey client-key client_key signature sessionid session-id session_id".split()
+
+
+def secret_places(text):
+    """{(start, end)} of the candidates of a text, character by character, without patterns."""
+    word = [c.isalnum() or c in "_.-" for c in text]
+    runs, i = [], 0
+    while i < len(text):
+        if word[i]:
+            j = i
+            while j < len(text) and word[j]:
+                j += 1
+            runs.append((i, j))
+            i = j
+        else:
+            i += 1
+    names = []
+    for k, (i, j) in enumerate(runs):
+        said = text[i:j].lower()
+        if any(x in said for x in KEYWORDS) or "passwrd" in said:
+            names.append((i, j))
+        elif k and said.startswith("key") and text[runs[k - 1][1] : i] == " " and text[slice(*runs[k - 1])].lower().endswith(("api", "access", "private", "client")):
+            two = text[slice(*runs[k - 1])].lower()
+            names.append((runs[k - 1][1] - max(len(x) for x in ("api", "access", "private", "client") if two.endswith(x)), j))
+    out, bare = set(), []
+    for i, j in names:
+        at = j + (text[j : j + 1] in ('"', "'") and j < len(text))
+        blank = at
+        while blank < len(text) and text[blank].isspace():
+            blank += 1
+        sign = blank
+        while sign < len(text) and sign < blank + 2 and text[sign] in ":=":
+            sign += 1
+        if sign > blank:
+            sign += text[sign : sign + 1] == ">"
+            at = sign
+            while at < len(text) and text[at].isspace():
+                at += 1
+        elif blank > at:
+            at = blank
+        else:
+            continue
+        if text[at : at + 6].lower() == "bearer" and text[at + 6 : at + 7].isspace():
+            at += 6
+            while at < len(text) and text[at].isspace():
+                at += 1
+        if at < len(text) and text[at] in "\"'`":
+            end = at + 1
+            while end < len(text) and text[end] not in "\"'`" and not text[end].isspace():
+                end += 1
+            if end < len(text) and text[end] == text[at] and end - at > secrets.SHORTEST:
+                out.add((at + 1, end))
+                continue
+        end = at
+        while end < len(text) and not text[end].isspace() and text[end] not in "\"'`()[]{}<>,;":
+            end += 1
+        bare.append([i, at, end])
+    for a, b in zip(bare, bare[1:]):
+        if b[0] < a[2]:
+            a[2] = max(a[1], b[0])
+    out |= {(at, end) for _, at, end in bare if end - at >= secrets.SHORTEST and not secrets._wordlike(text[at:end])}
+    marks = [(m.start(), m.end(), m[1]) for m in re.finditer("-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY( BLOCK)?-----", text)]
+    for (_, a, kind), (b, _, other) in zip(marks, marks[1:]):
+        if (kind, other) == ("BEGIN", "END") and b > a and all(c.isalnum() or c in "_+/=:,.\\-" or c.isspace() for c in text[a:b]):
+            out.add((a, b))
+    return out
+
+
+def secret_rows(text):
+    """[(start, end)] of what is reported: candidates whose bytes zstandard cannot save, found by compressing twice."""
+    found, at = [], -1
+    for start, end in sorted(secret_places(text), key=lambda x: (x[0], -x[1])):
+        if start < at:
+            continue
+        secret = text[start:end]
+        around = (text[max(0, start - secrets.AROUND) : start] + " " + text[end : end + secrets.AROUND]).replace(secret, " ")
+        known = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(secrets.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        size = [len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(x)) for x in (secret.encode(), b"")]
+        if max(0, size[0] - size[1]) >= secrets.NOVELTY * secrets.random_size(secret, len(secret.encode())):
+            found.append((start, end))
+            at = end
+    return found
