@@ -302,11 +302,50 @@ def test_near_duplicates(spark):
     assert got[n + 300] == got[n + 301] == n + 300 or got[n + 301] == n + 300
 
 
+@pytest.mark.parametrize("top, bias", [(8, 0.5), (0, 0.5), (8, 0.02)])
+def test_dense_nodes(top, bias):
+    """Nodes of thousands of unlike points, which agree in most bits of their key, keep the recall without comparing all pairs."""
+    r = np.random.RandomState(4)
+    bits = (r.rand(12_000, simhash.BITS) < 0.5).astype(np.uint8)
+    bits[:, :64] = r.rand(12_000, 64) < bias
+    for i in range(6_000, 12_000):
+        bits[i] = bits[i - 6_000]
+        bits[i, r.permutation(simhash.BITS)[: r.randint(1, 40)]] ^= 1
+    a = np.packbits(bits, axis=1).view(np.uint64)
+    key = simhash.keys(bits, np.arange(64))
+    order = np.argsort(key, kind="stable")
+    pairs = set()
+    for x in range(len(a)):
+        near = np.flatnonzero(np.bitwise_count(a[x] ^ a[x + 1 :]).sum(1) <= simhash.DISTANCE) + x + 1
+        pairs |= {(x, int(y)) for y in near}
+    left, right = simhash._own_forest(a, simhash.DISTANCE, 1)
+    join = {}
+
+    def find(x):
+        while join.get(x, x) != x:
+            x = join[x]
+        return x
+
+    for x, y in zip(left.tolist(), right.tolist()):
+        assert np.bitwise_count(a[x] ^ a[y]).sum() <= simhash.DISTANCE
+        join[find(x)] = find(y)
+    assert sum(find(x) == find(y) for x, y in pairs) >= 0.95 * len(pairs)
+    # in one trie, pairs with a common prefix of the depth are found
+    l, r = simhash.near_pairs(a[order], key[order], np.zeros(1, np.int64), 12, simhash.DISTANCE, top if bias != 0.5 else 0)
+    got = simhash.forest_edges(order[l], order[r])
+    join.clear()
+    for x, y in zip(*(c.tolist() for c in got)):
+        join[find(x)] = find(y)
+    same = [(x, y) for x, y in pairs if key[x] >> np.uint64(52) == key[y] >> np.uint64(52)]
+    assert same and sum(find(x) == find(y) for x, y in same) >= 0.95 * len(same)
+
+
 def test_forest_recall():
     """At the very distance, over random prints, at several numbers of points."""
     r = np.random.RandomState(1)
-    for points in (1_000, 1_000_000, 10**9):
+    for points in (1_000, 1_000_000, 10**8):
         depth, tries = simhash.forest(points)
+        assert points / 2**depth <= simhash.NODE and points / 2 ** simhash.shortest(points, depth) <= simhash.PIECE
         orders = simhash._tries(0, tries, 20)
         hits = 0
         for _ in range(400):
