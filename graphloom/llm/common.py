@@ -138,6 +138,15 @@ def batch(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for (_, t), c in zip(schema, columns)], names=[n for n, _ in schema])
 
 
+def single(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with one row for each key that is not null, of several the one with the least hash. Where no key is repeated,
+    nothing but the keys is shuffled."""
+    ids = docs.filter(F.col(f"`{key}`").isNotNull()).groupBy(key).agg(F.count("*").alias("copies"))
+    if ids.filter("copies > 1").isEmpty():
+        return docs.filter(F.col(f"`{key}`").isNotNull())
+    return once_per_id(docs, ids, key)
+
+
 def once_per_id(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is in `decided` (key, copies), one per key, of several the one with the least hash: only
     keys that several rows carry, if there are any, are shuffled for that, and combined before."""

@@ -385,6 +385,62 @@ def test_passages_with_unlike_words_between(spark, passage, count, gap):
     assert all(60 + n * (passage + gap) + i in covered for n in range(count) for i in range(passage))
 
 
+def edited(r, say, identity, even):
+    """80 words and the same with words replaced, inserted and lost."""
+    x, every = say(80), round(1 / (1 - identity))
+    y = []
+    for i, w in enumerate(x):
+        if i % every != every // 2 if even else r.random() < identity:
+            y.append(w)
+        else:
+            y += r.choice([[], say(1), [w, *say(1)]])
+    return x, y
+
+
+@pytest.mark.parametrize(("even", "identity", "least"), [(False, 0.85, 0.8), (False, 0.88, 0.9), (False, 0.9, 0.93), (True, 0.88, 0.9), (True, 0.9, 0.95), (False, 0.95, 0.97)])
+def test_recall_of_edited_passages(spark, even, identity, least):
+    """Of passages of which brute-force alignment says that they reach the identity: the shares that are reported."""
+    r = random.Random(round(100 * identity) + even)
+    say = lambda n: [f"v{r.randrange(20_000)}" for _ in range(n)]
+    rows, wanted = [], []
+    for i in range(80):
+        x, y = edited(r, say, identity, even)
+        code = {w: n for n, w in enumerate(dict.fromkeys(x + y))}
+        if len(y) >= 50 and passages.distance(np.array([code[w] for w in x]), np.array([code[w] for w in y])) <= 0.2 * max(len(x), len(y)):
+            wanted.append(2 * i + 1)
+        rows += [(2 * i, " ".join(say(100) + x + say(100))), (2 * i + 1, " ".join(say(100) + y + say(100)))]
+    covered = {}
+    for g in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert g["source_doc_id"] == g["doc_id"] - 1 and g["identity"] >= passages.IDENTITY
+        covered[g["doc_id"]] = covered.get(g["doc_id"], 0) + g["end_word"] - g["start_word"]
+    assert len(wanted) > 40 and sum(covered.get(i, 0) >= 50 for i in wanted) >= least * len(wanted)
+
+
+def test_minimizers_are_those_of_each_document():
+    r = np.random.RandomState(0)
+    for k, w in ((8, 8), (4, 6), (3, 9)):
+        at = np.concatenate([[0], np.cumsum(r.randint(0, 60, 40))])
+        h = r.randint(0, 50, at[-1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        want = set()
+        for a, b in zip(at[:-1], at[1:]):
+            s = hashing.shingles(h[a:b], k).tolist()
+            for i in range(1 - w, len(s)):
+                window = s[max(i, 0) : i + w]
+                want |= {int(a) + j for j in range(max(i, 0), min(i + w, len(s))) if s[j] == min(window)}
+        assert set(passages.minimizers(h, at, k, w)[0].tolist()) == want
+
+
+def test_a_hot_passage(spark, monkeypatch):
+    """A passage in most documents: first places are joined, chains of the document that holds it first are fetched in parts."""
+    monkeypatch.setattr(passages, "FETCH", 16)
+    say = lambda i, n: [f"d{i}w{j}" for j in range(n)]
+    hot = say("hot", 70)
+    rows = [(i, " ".join(say(i, 20) + (hot if i % 3 else []) + say(-i, 20))) for i in range(300)]
+    got = passages.repeated_passages(spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == [i for i in range(2, 300) if i % 3]
+    assert all((x["source_doc_id"], x["start_word"], x["end_word"], x["identity"]) == (1, 20, 90, 1.0) for x in got)
+
+
 def test_passages_whose_parts_stand_in_earlier_documents(spark):
     """C and B share 60 to 90 words; two earlier documents hold a half each, which is too short to count."""
     r = random.Random(9)
