@@ -435,7 +435,7 @@ def test_a_hot_passage(spark, monkeypatch):
     monkeypatch.setattr(passages, "FETCH", 16)
     say = lambda i, n: [f"d{i}w{j}" for j in range(n)]
     hot = say("hot", 70)
-    rows = [(i, " ".join(say(i, 20) + (hot if i % 3 else []) + say(-i, 20))) for i in range(300)]
+    rows = [(i, " ".join(say(i, 20) + (hot if i % 3 else []) + say(1000 + i, 20))) for i in range(300)]
     got = passages.repeated_passages(spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string")).collect()
     assert sorted(x["doc_id"] for x in got) == [i for i in range(2, 300) if i % 3]
     assert all((x["source_doc_id"], x["start_word"], x["end_word"], x["identity"]) == (1, 20, 90, 1.0) for x in got)
