@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -70,7 +71,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def texts(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, text last; other columns of df never reach Python."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    return spread(df.select(*[F.col(f"`{c}`") for c in columns]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as tasks run at once. Only a table that is read in fewer pieces than that is moved, and
+    none whose partitions are not known before it is computed."""
+    plan = df._jdf.queryExecution().sparkPlan()
+    for line in plan.toString().splitlines():
+        if not re.match(r"[\s:|+*()\d-]*(?:Project|Filter|FileScan|Batched: |Location|PartitionFilters|PushedFilters|ReadSchema)", line):
+            return df
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df._jdf.queryExecution().toRdd().getNumPartitions() < most else df
 
 
 def partitions(spark: SparkSession) -> int:

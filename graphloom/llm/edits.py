@@ -3,7 +3,8 @@
 A document's pre-tokens are the leaves of a segment tree whose nodes hold the tokens of the leaves below. An edit changes a
 stretch of the text: pre-tokens are matched anew from the one before the first that it touches until a boundary of the new text falls on one of the
 old text behind the edit, from where on both agree. Only that stretch is encoded; its sum replaces that of the old leaves
-and the sums on the paths to the root are updated.
+and the sums on the paths to the root are updated. Leaves are kept in a table, so that later edits, batch after batch, read
+no document that they do not change and encode nothing but what they touch.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,36 +45,74 @@ def _lengths(path: str) -> np.ndarray:
 
 
 class TokenTree:
-    """Pre-token boundaries of a text and a segment tree of their token counts."""
+    """Pre-token boundaries of a text and a segment tree of their token counts; `leaves`, if given, are those that leaves()
+    has given before, and nothing is encoded."""
 
-    def __init__(self, text: str, path: str = VOCABULARY):
+    def __init__(self, text: str, path: str = VOCABULARY, leaves: bytes | None = None):
         self.text, self.path = text, path
+        self.reencoded, self.total = 0, 0
+        #: Stretches of leaves that apply() has replaced: first, last, lengths and tokens of the new ones.
+        self._spliced: list[tuple[int, int, list[int], list[int]]] = []
+        if leaves is not None:
+            held = np.frombuffer(zstandard.ZstdDecompressor().decompress(leaves), np.uint32).astype(np.int64)
+            self._build(np.cumsum(held[: len(held) // 2]), held[len(held) // 2 :])
+            return
         e = encoding(path)
         ends = np.cumsum(np.fromiter(map(len, _pattern().findall(text)), np.int64)) if text else np.zeros(0, np.int64)
-        self.ends = ends
-        n = len(ends)
-        self.size = 1 << max(0, (n - 1)).bit_length()
-        self.tree = np.zeros(2 * self.size, np.int64)
-        if n:
+        counts = np.zeros(len(ends), np.int64)
+        if len(ends):
             at = ends
             if not text.isascii():
                 b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
                 at = np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))[ends]
             ids = np.fromiter(e.encode_ordinary(text), np.int64)
             upto = np.searchsorted(np.cumsum(_lengths(path)[ids]), at, side="right")
-            self.tree[self.size : self.size + n] = np.diff(upto, prepend=0)
+            counts = np.diff(upto, prepend=0)
+        self._build(ends, counts)
+
+    def _build(self, ends: np.ndarray, counts: np.ndarray) -> None:
+        self._ends = ends
+        self.size = 1 << max(0, (len(ends) - 1)).bit_length()
+        self.tree = np.zeros(2 * self.size, np.int64)
+        self.tree[self.size : self.size + len(ends)] = counts
         level = self.size
         while level > 1:
             self.tree[level // 2 : level] = self.tree[level : 2 * level : 2] + self.tree[level + 1 : 2 * level : 2]
             level //= 2
-        self.reencoded = 0
+        self.total = int(self.tree[1])
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Where the pre-tokens end, in characters."""
+        self._settle()
+        return self._ends
 
     @property
     def tokens(self) -> int:
-        return int(self.tree[1])
+        return self.total
+
+    def _settle(self) -> None:
+        """Puts the new leaves of the edits so far in the place of the old ones; nothing is encoded for that."""
+        if not self._spliced:
+            return
+        lengths, counts = np.diff(self._ends, prepend=0), self.tree[self.size : self.size + len(self._ends)].copy()
+        parts, at = [], 0
+        for first, last, new, tokens in self._spliced:
+            parts += [(lengths[at:first], counts[at:first]), (np.array(new, np.int64), np.array(tokens, np.int64))]
+            at = last
+        parts.append((lengths[at:], counts[at:]))
+        self._spliced = []
+        self._build(np.cumsum(np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts]))
+
+    def leaves(self) -> bytes:
+        """Lengths and token counts of all pre-tokens, to make the tree of again."""
+        self._settle()
+        held = np.concatenate([np.diff(self.ends, prepend=0), self.tree[self.size : self.size + len(self.ends)]]).astype(np.uint32)
+        return zstandard.ZstdCompressor(level=3).compress(held.tobytes())
 
     def count(self, first: int, last: int) -> int:
         """Tokens of the leaves from first up to, not including, last."""
+        self._settle()
         total, a, b = 0, first + self.size, last + self.size
         while a < b:
             if a & 1:
@@ -96,7 +136,8 @@ class TokenTree:
     def apply(self, edits: list[Edit]) -> str:
         """Applies edits (start, end, replacement), which are places in the text as it was built; returns the new text.
         Edits that begin before the end of an earlier one, or beyond the text, are left out; an edit that ends beyond it
-        ends with it. The tree keeps its leaves and holds the new text's counts; a second call needs a new tree."""
+        ends with it. Afterwards the tree is that of the new text, and may be edited again."""
+        self._settle()
         good: list[Edit] = []
         for s, e, r in sorted(edits, key=lambda x: (x[0], x[1])):
             e = min(e, len(self.text))
@@ -115,7 +156,7 @@ class TokenTree:
         while i < len(good):
             first = self._before(ends, good[i][0])
             at = self._start(ends, first) + delta
-            begin, tokens, stop = at, 0, None
+            begin, stop, sizes, counts = at, None, [], []
             until = good[i][1] + delta + len(good[i][2]) - (good[i][1] - good[i][0])
             delta += len(good[i][2]) - (good[i][1] - good[i][0])
             i += 1
@@ -134,23 +175,20 @@ class TokenTree:
                         stop = n
                         break
                 m = match(new, at)
-                tokens += len(encode(m.group()))
+                counts.append(len(encode(m.group())))
+                sizes.append(m.end() - at)
                 at = m.end()
             last = max(stop, first)
             self.reencoded += at - begin
-            if n == 0:
-                self.tree[1] += tokens
-            elif first >= n:
-                self._add(n - 1, tokens)
-            elif last == first:
-                self._add(first, tokens)
+            self._spliced.append((first, last, sizes, counts))
+            if n and last > first:
+                self._set(first, last, sum(counts))
+                self.total = int(self.tree[1]) + sum(sum(c) for f, k, _, c in self._spliced if k == f)
             else:
-                self._set(first, last, tokens)
+                self.total += sum(counts)
+        self.text = new
         return new
 
-    def _add(self, leaf: int, tokens: int) -> None:
-        self._set(leaf, leaf + 1, int(self.tree[self.size + leaf]) + tokens)
-
     def _before(self, ends: list[int], start: int) -> int:
         """The first leaf that a change at start can alter: the one before the leaf that holds it, whose end the character
         there decides, and, as a run of white space is cut by what follows it, those back to the start of such a run."""
@@ -164,12 +202,31 @@ class TokenTree:
         return ends[leaf - 1] if leaf else 0
 
 
-MASKS = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]+)|(?P<ip>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<key>\b[0-9A-Fa-f]{32,}\b)|(?P<number>\b\d{9,}\b)")
+#: The part of a mail address from its sign on, and the others by what they begin with: a run of digits, or of hexadecimal ones.
+HOST = re.compile(r"@[\w-]+\.[\w.-]+")
+LOCAL = re.compile(r"[\w.+-]+\Z")
+DIGITS = re.compile(r"(?<!\w)(?:(?P<ip>\d{1,3}(?:\.\d{1,3}){3})|(?P<key>[0-9A-Fa-f]{32,})|(?P<number>\d{9,}))(?!\w)")
+RUN = re.compile(r"[\d.]{7}|[0-9A-Fa-f]{32}")
 
 
 def redactions(text: str) -> list[Edit]:
-    """Mail addresses, IP addresses, hexadecimal keys and long numbers, each to be replaced by its kind."""
-    return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in MASKS.finditer(text)]
+    """Mail addresses, IP addresses, hexadecimal keys and long numbers, each to be replaced by its kind; of those that overlap the first."""
+    found, behind = [], 0
+    for m in HOST.finditer(text):
+        begin = m.start()
+        while begin > behind and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        if begin < m.start():
+            found.append((begin, m.end(), "<mail>"))
+        behind = m.end()
+    if RUN.search(text):
+        found += [(m.start(), m.end(), f"<{m.lastgroup}>") for m in DIGITS.finditer(text)]
+    good, at = [], 0
+    for start, end, kind in sorted(found):
+        if start >= at:
+            good.append((start, end, kind))
+            at = end
+    return good
 
 
 def edited_counts(docs: DataFrame, edits: DataFrame | None = None, rule: Callable[[str], list[Edit]] = redactions, path: str = VOCABULARY) -> DataFrame:
@@ -195,16 +252,53 @@ def edited_counts(docs: DataFrame, edits: DataFrame | None = None, rule: Callabl
             for i, text in enumerate(piece.column("text").to_pylist()):
                 text = text or ""
                 tree = TokenTree(text, path)
-                before = tree.tokens
+                before, pieces = tree.tokens, len(tree.ends)
                 todo = [(x["start"], x["end"], x["replacement"]) for x in given[i] or []] if given is not None else rule(text)
                 if todo:
                     tree.apply(todo)
-                out.append((len(tree.ends), before, len(todo), tree.tokens, tree.reencoded))
+                out.append((pieces, before, len(todo), tree.tokens, tree.reencoded))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*out)]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return arrow(source, count, SCHEMA)
 
 
+TREES = "doc_id bigint, text string, leaves binary, tokens bigint, chars_reencoded bigint"
+
+
+def token_trees(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text, leaves, tokens, chars_reencoded) of each row of docs, encoded once; to be written and given to edit_trees()."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            trees = [TokenTree(t or "", path) for t in piece.column("text").to_pylist()]
+            yield _rows(piece.column("doc_id"), trees)
+
+    return arrow(texts(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint")), build, TREES)
+
+
+def _rows(ids: pa.Array, trees: list[TokenTree]) -> pa.RecordBatch:
+    columns = [pa.array([t.text for t in trees], pa.string()), pa.array([t.leaves() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.reencoded for t in trees], pa.int64())]
+    return pa.RecordBatch.from_arrays([ids, *columns], names=[x.split()[0] for x in TREES.split(", ")])
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """The trees after a batch of edits (doc_id, start, end, replacement, as for edited_counts()); chars_reencoded is what this
+    batch has encoded. Documents without edits pass through as they are, with 0, and never reach Python. Batches may follow each other."""
+    e = edits.filter("doc_id is not null and start is not null and end is not null and replacement is not null").distinct()
+    e = e.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "replacement"))).alias("asked"))
+
+    def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text"):
+            done = []
+            for text, leaves, asked in zip(*(piece.column(c).to_pylist() for c in ("text", "leaves", "asked"))):
+                done.append(TokenTree(text, path, leaves))
+                done[-1].apply([(x["start"], x["end"], x["replacement"]) for x in asked])
+            yield _rows(piece.column("doc_id"), done)
+
+    edited = arrow(trees.join(e, trees["doc_id"] == e["of"]).select("doc_id", "leaves", "asked", "text"), change, TREES)
+    return edited.union(trees.join(e, trees["doc_id"] == e["of"], "left_anti").select("doc_id", "text", "leaves", "tokens", F.lit(0).cast("bigint").alias("chars_reencoded")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document before and after personal data and keys are masked."""
     return edited_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -522,6 +522,26 @@ def test_edited_counts(text, changes):
             at = e
     assert new == want + text[at:]
     assert tree.tokens == len(encode(new))
+    # the leaves are those of the new text, kept or made anew, and can be edited again
+    kept, fresh = edits.TokenTree(new, leaves=tree.leaves()), edits.TokenTree(new)
+    assert kept.ends.tolist() == tree.ends.tolist() == fresh.ends.tolist() and kept.leaves() == fresh.leaves() and kept.tokens == len(encode(new))
+    again = kept.apply([(s + 1, e + 2, r) for s, e, r in changes])
+    assert kept.text == again and kept.tokens == len(encode(again)) == kept.count(0, len(kept.ends))
+
+
+def test_batches_of_edits(spark, docs):
+    """Three batches on kept trees give the counts of the texts as they are then; what is not edited is not encoded."""
+    encode = tokens.encoding().encode_ordinary
+    now = {x["doc_id"]: x["text"] for x in docs.collect()}
+    trees = edits.token_trees(docs)
+    for batch in range(3):
+        change = [(i, 10 * batch + i % 7, 10 * batch + i % 7 + 3, "new words " * batch) for i in now if i % 5 == batch]
+        trees = edits.edit_trees(trees, spark.createDataFrame(change, "doc_id bigint, start int, end int, replacement string"))
+        for i, a, b, r in change:
+            now[i] = now[i][:a] + r + now[i][b:] if a <= len(now[i]) else now[i]
+        for x in trees.collect():
+            assert x["text"] == now[x["doc_id"]] and x["tokens"] == len(encode(now[x["doc_id"]]))
+            assert x["chars_reencoded"] < 200 + len("new words ") * batch if x["doc_id"] % 5 == batch else x["chars_reencoded"] == 0
 
 
 def test_edits_reencode_little():
