@@ -430,6 +430,28 @@ def test_minimizers_are_those_of_each_document():
         assert set(passages.minimizers(h, at, k, w)[0].tolist()) == want
 
 
+def test_covers_are_the_smallest():
+    r = np.random.RandomState(3)
+    for _ in range(300):
+        n = r.randint(1, 9)
+        group, start = np.sort(r.randint(0, 2, n)), r.randint(0, 12, n)
+        end = start + r.randint(1, 6, n)
+        order = np.lexsort((-end, start, group))
+        group, start, end = group[order], start[order], end[order]
+        words = lambda some: {(group[i], w) for i in some for w in range(start[i], end[i])}
+        got = passages.cover(group, start, end)
+        least = min(bin(m).count("1") for m in range(1, 1 << n) if words([i for i in range(n) if m >> i & 1]) == words(range(n)))
+        assert words(got) == words(range(n)) and len(got) == len(set(got)) == least
+
+
+def test_a_text_of_one_word(spark):
+    """Windows of a text that repeats itself are as many as its words; few passages cover them."""
+    rows = [(1, "spam " * 60), (2, "spam " * 3000), (3, "an egg " * 40), (4, "an egg " * 900)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    covered = {i for x in got if x["doc_id"] == 2 for i in range(x["start_word"], x["end_word"])}
+    assert {x["doc_id"] for x in got} == {2, 4} and len(covered) >= 2990 and len(got) < 150
+
+
 def test_a_hot_passage(spark, monkeypatch):
     """A passage in most documents: first places are joined, chains of the document that holds it first are fetched in parts."""
     monkeypatch.setattr(passages, "FETCH", 16)
