@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +15,26 @@ from ..model import PropertyGraph
 from .components import checkpoint_dir, connected_components
 from .graph import both_ways, file_graph, in_out_degrees
 
+#: Nodes and edges up to which all rounds of PageRank run in one task; beyond, a round is a join.
+PACKED = 1_000_000
 #: Undirected edges up to which betweenness sends the whole adjacency to every task; beyond, it runs as joins.
 ADJACENCY = 2_000_000
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, every: int = 5, packed: int = PACKED) -> DataFrame:
     """(id, rank) by power iteration from 1/N, dangling rank spread evenly; stops when the sum of changes is under the
     tolerance (not scaled by N) or after the rounds. tolerance None: always all rounds.
 
-    The edges with their out-degree are checkpointed once; a round is one join and one aggregation, and one row of sums
+    The edges are checkpointed once and counted. A graph of at most `packed` nodes and edges is one task's work. Of a larger
+    one a round is one join and one aggregation, and one row of sums
     reaches the driver. Lineage is cut every few rounds."""
     checkpoint_dir(nodes.sparkSession)
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    edges = edges.select("src", "dst").distinct()
+    edges = edges.select("src", "dst").distinct().checkpoint()
+    if n + edges.count() <= packed:
+        return _packed_pagerank(nodes, edges, n, alpha, rounds, tolerance)
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = edges.join(out, "src").select("src", "dst", "out").checkpoint()
     base = nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("out").isNull().alias("dangling")).checkpoint()
@@ -43,6 +51,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     return ranks.select("id", "rank")
 
 
+def _packed_pagerank(nodes: DataFrame, edges: DataFrame, n: int, alpha: float, rounds: int, tolerance: float | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        known = pc.is_null(table.column("dst"))
+        ids = table.filter(known).column("src").combine_chunks()
+        links = table.filter(pc.invert(known))
+        src, dst = (pc.index_in(links.column(c), value_set=ids).to_numpy() for c in ("src", "dst"))
+        out = np.bincount(src, minlength=n)
+        rank, ends = np.full(n, 1.0 / n), out == 0
+        for _ in range(rounds):
+            new = (1 - alpha + alpha * rank[ends].sum()) / n + alpha * np.bincount(dst, rank[src] / out[src], n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if tolerance is not None and moved < tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([ids, pa.array(rank)], names=["id", "rank"])
+
+    rows = nodes.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).union(edges)
+    return rows.coalesce(1).mapInArrow(run, "id string, rank double")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each undirected pair once, without self-loops."""
     return edges.filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

@@ -13,6 +13,8 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="graphloom-"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph, is_test
@@ -26,7 +26,9 @@ def neighbor_symbols(sub: PropertyGraph, focus: str, exclude_tests: bool = True,
     if exclude_tests:
         out = out.filter(~is_test(F.col("path")))
     ends = sub.of_types("imports", "defines", "extends", "tested_by", "uses", "calls").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("refs"))
-    out = out.join(ends, "id", "left").fillna(0, ["refs"]).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))) if most else F.lit(0))
+    out = out.join(ends, "id", "left").fillna(0, ["refs"])
+    # one number for all rows: an aggregate, combined before it is sent, and a join with its single row
+    out = out.crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))) if most else out.withColumn("total", F.lit(0))
     return out.orderBy(F.desc("refs"), "seq").limit(most) if most else out
 
 

@@ -36,8 +36,10 @@ def file_graph(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFrame:
     """(id, hop) of what seeds (id) reach along edges (src, dst) in at most depth hops; 0 is no limit. Breadth first, a join
-    of the frontier a round; each round is checkpointed, so neither its lineage nor a lost executor repeats earlier ones."""
+    of the frontier a round; each round is checkpointed, so neither its lineage nor a lost executor repeats earlier ones, and
+    so are the edges, which otherwise were derived anew for each."""
     checkpoint_dir(edges.sparkSession)
+    edges = edges.select("src", "dst").checkpoint()
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier, hop = seen, 0
     while not depth or hop < depth:
@@ -74,7 +76,7 @@ def shortest_path(g: PropertyGraph, source: str, dest: str) -> tuple[list[str],
     """Node ids and (src, dst, etype, evidence) of each hop of a shortest dependency path; of several, the one whose
     nodes have the least predecessors. None if there is none."""
     checkpoint_dir(g.spark)
-    edges = g.of_types(*DERIVED)
+    edges = g.of_types(*DERIVED).select("src", "dst", "etype", "evidence").checkpoint()
     known = {r[0] for r in g.nodes.filter(F.col("id").isin(source, dest)).select("id").collect()}
     if not {source, dest} <= known:
         return None
@@ -89,10 +91,12 @@ def shortest_path(g: PropertyGraph, source: str, dest: str) -> tuple[list[str],
         seen = seen.union(frontier)
         if not frontier.filter(F.col("id") == dest).isEmpty():
             break
-    path = [dest]
-    for h in range(hop, 0, -1):
-        path.append(seen.filter((F.col("id") == path[-1]) & (F.col("hop") == h)).select("parent").first()[0])
-    path.reverse()
+    # back along the parents: one chain of joins, each of one row, in one job
+    back = seen.filter(F.col("id") == dest).select(F.col("id").alias(f"n{hop}"), F.col("parent").alias(f"n{hop - 1}"))
+    for h in range(hop - 1, 0, -1):
+        step = seen.filter(F.col("hop") == h).select(F.col("id").alias(f"n{h}"), F.col("parent").alias(f"n{h - 1}"))
+        back = back.join(step, f"n{h}")
+    path = list(back.select(*[f"n{h}" for h in range(hop + 1)]).first()) if hop else [dest]
     hops = list(zip(path, path[1:]))
     found = {(r.src, r.dst): r for r in edges.filter(F.struct("src", "dst").isin([F.struct(F.lit(a), F.lit(b)) for a, b in hops])).collect()} if hops else {}
     return path, [(a, b, found[a, b].etype, found[a, b].evidence) for a, b in hops]

@@ -57,9 +57,9 @@ def step_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Returned lines only, so that the graph is sparse."""
+    """A part and the part on the next line of the same order, from all lines."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    rows = table(spark, sf, "lineitem")
     return rows.select(_id("p", "l_partkey").alias("src"), F.concat(F.lit("p:"), F.lead("l_partkey").over(w).cast("string")).alias("dst")).filter("dst is not null and src != dst").distinct()
 
 
@@ -102,7 +102,7 @@ STEP_SQL = "te AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead
 LINE_SQL = """
 ce AS (SELECT DISTINCT src, dst FROM (
   SELECT 'p:' || l_partkey AS src, 'p:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS dst
-  FROM lineitem WHERE l_returnflag = 'R') WHERE dst IS NOT NULL AND src <> dst)"""
+  FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
 DOC_SQL = """
 df AS (SELECT 'd:' || doc_id AS path, CASE lang WHEN 'en' THEN 'python' WHEN 'de' THEN 'go' ELSE lang END AS language, length(text) AS chars, greatest(1, length(text) // 4) AS tokens FROM documents),
 di AS (

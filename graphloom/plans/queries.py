@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import PropertyGraph, one_edge_per_pair, tokens
 from ..operators import analytics, components, context, graph, link, report, resolve, search, snapshot
+from . import ingest
 from .adapters import DOC_SQL, KEY_SQL, LINE_SQL, LINK_SQL, STEP_SQL, document_files, key_graph, line_edges, link_graph, step_edges, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,38 +112,43 @@ def shortest_path_hops(spark, sf):
     return spark.createDataFrame(list(enumerate(nodes)), "hop int, id string")
 
 
-@query(f"""WITH RECURSIVE {LINE_SQL}, s AS (SELECT min(src) AS id FROM ce), r AS (SELECT id, 0 AS hop FROM s UNION SELECT dst, hop + 1 FROM r JOIN ce ON src = r.id WHERE hop < 12)
-SELECT id, min(hop) AS hop FROM r GROUP BY id HAVING min(hop) <= 12""")
+@query(f"""WITH RECURSIVE {LINE_SQL}, cm AS MATERIALIZED (SELECT * FROM ce), s AS (SELECT min(src) AS id FROM cm), r AS (SELECT id, 0 AS hop FROM s UNION SELECT dst, hop + 1 FROM r JOIN cm ON src = r.id WHERE hop < 64)
+SELECT id, min(hop) AS hop FROM r GROUP BY id""")
 def reachable_hops(spark, sf):
     edges = line_edges(spark, sf)
-    return graph.reach(edges, edges.agg(F.min("src").alias("id")), 12)
+    return graph.reach(edges, edges.agg(F.min("src").alias("id")))
 
 
 # analytics
 
-ROUNDS = 8
+#: Rounds that the SQL writes out: the most that the operator takes.
+ROUNDS = 100
 
 
 def _rank_sql(base: str, nodes: str, edges: str) -> str:
-    parts = [f"WITH {base}, n AS (SELECT id FROM {nodes}), c AS (SELECT count(*) AS n FROM n), o AS (SELECT src, count(*) AS o FROM (SELECT DISTINCT src, dst FROM {edges}) GROUP BY src), l AS (SELECT DISTINCT e.src, e.dst, o.o FROM {edges} e JOIN o USING (src)), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM n, c)"]
+    """Power iteration, round by round; the rank is that of the first round that changes the ranks by less than 1e-6 in all."""
+    parts = [f"WITH {base}, n AS MATERIALIZED (SELECT id FROM {nodes}), c AS MATERIALIZED (SELECT count(*) AS n FROM n), o AS MATERIALIZED (SELECT src, count(*) AS o FROM (SELECT DISTINCT src, dst FROM {edges}) GROUP BY src), l AS MATERIALIZED (SELECT DISTINCT e.src, e.dst, o.o FROM {edges} e JOIN o USING (src)), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS rank FROM n, c)"]
     for i in range(ROUNDS):
-        parts.append(f"r{i + 1} AS (SELECT n.id, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM o))) / (SELECT n FROM c) + 0.85 * coalesce(sum(r.rank / l.o), 0) AS rank FROM n LEFT JOIN l ON l.dst = n.id LEFT JOIN r{i} r ON r.id = l.src GROUP BY n.id)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT n.id, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM o))) / (SELECT n FROM c) + 0.85 * coalesce(sum(r.rank / l.o), 0) AS rank FROM n LEFT JOIN l ON l.dst = n.id LEFT JOIN r{i} r ON r.id = l.src GROUP BY n.id)")
+    parts.append("moved AS (" + " UNION ALL ".join(f"SELECT {i + 1} AS round, sum(abs(b.rank - a.rank)) AS moved FROM r{i} a JOIN r{i + 1} b USING (id)" for i in range(ROUNDS)) + ")")
+    parts.append("ranks AS (" + " UNION ALL ".join(f"SELECT {i + 1} AS round, id, rank FROM r{i + 1}" for i in range(ROUNDS)) + ")")
+    parts.append("r AS (SELECT id, rank FROM ranks WHERE round = (SELECT coalesce(min(round) FILTER (WHERE moved < 1e-6), max(round)) FROM moved))")
     return ", ".join(parts)
 
 
-@query(_rank_sql(LINK_SQL, "ln", "le") + f" SELECT id, round(rank, 6) AS rank FROM r{ROUNDS}")
+@query(_rank_sql(LINK_SQL, "ln", "le") + f" SELECT id, round(rank, 6) AS rank FROM r")
 def pagerank_fixed(spark, sf):
     g = link_graph(spark, sf)
     files, edges = graph.file_graph(g)
-    return analytics.pagerank(files, edges, rounds=ROUNDS, tolerance=None).select("id", F.round("rank", 6).alias("rank"))
+    return analytics.pagerank(files, edges).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(_rank_sql(KEY_SQL, "(SELECT id FROM kn WHERE ntype = 'file')", "(SELECT src, dst FROM ke WHERE etype = 'imports')") + f""",
-t AS (SELECT id AS path, round(rank, 6) AS pagerank, (SELECT count(*) FROM l WHERE dst = id) AS in_degree, (SELECT count(*) FROM l WHERE src = id) AS out_degree FROM r{ROUNDS})
+t AS (SELECT id AS path, round(rank, 6) AS pagerank, (SELECT count(*) FROM l WHERE dst = id) AS in_degree, (SELECT count(*) FROM l WHERE src = id) AS out_degree FROM r)
 SELECT * FROM t ORDER BY pagerank DESC, path LIMIT 20""")
 def centrality_topn(spark, sf):
     files, edges = graph.file_graph(key_graph(spark, sf))
-    ranks = analytics.pagerank(files, edges, rounds=ROUNDS, tolerance=None).select("id", F.round("rank", 6).alias("pagerank"))
+    ranks = analytics.pagerank(files, edges).select("id", F.round("rank", 6).alias("pagerank"))
     return ranks.join(graph.in_out_degrees(files, edges), "id").select(F.col("id").alias("path"), "pagerank", "in_degree", "out_degree").orderBy(F.desc("pagerank"), "path").limit(20)
 
 
@@ -476,6 +482,10 @@ def viz_links(spark, sf):
     return report.viz_links(key_graph(spark, sf))
 
 
+QUERIES |= ingest.QUERIES
+ORACLE_SQL |= ingest.ORACLE_SQL
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the two-hop context of a page in the link graph, all sections in one result."""
     g = link_graph(spark, sf)

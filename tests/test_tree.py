@@ -84,6 +84,15 @@ def test_extractors():
     assert [s["stype"] for s in extract('{"name": "x", "version": "1", "scripts": {"t": "run"}}', "package.json", "packagejson")["symbols"]] == ["package", "script"]
 
 
+def test_declarations_that_hide_others():
+    """A constructor is no function that takes its class's place; members on the line of their brace are found."""
+    java = extract("class Pay extends Base { Pay(int x) { super(x); } Pay copy() { return new Pay(1); } }", "f", "java")["symbols"]
+    assert [(s["name"], s["stype"], s["extends_name"]) for s in java] == [("Pay", "class", "Base"), ("copy", "function", "")]
+    assert names("public record P(int X) { public P(string s) : this(1) { } int? Sum<T>(T a) => 1; }", "csharp") == [("P", "class"), ("Sum", "function")]
+    assert names("object One { fun a() {} }\nenum class E { A }\n", "kotlin") == [("One", "class"), ("a", "function"), ("E", "class")]
+    assert names("a { return pay(1); }\nint b = new X(2);\n", "java") == []
+
+
 def test_text_cells():
     assert [toon.cell(x) for x in (None, "a\nb", "a\r\nb", "a,b", 3)] == ["", "a b", "a b", '"a,b"', "3"]
     doc = toon.Document().pair("k", "v").table("none", ["a"], []).table("t", ["a", "b"], [(1, "x,y")])
