@@ -36,10 +36,12 @@ def search_files(g: PropertyGraph, query: str, limit: int = 20, subproject: str
     """Q2, Q4: path, language, exports, imported_by, score, degree of the best files; counts are joined after the limit."""
     needle = query.strip().lower()
     files = _of_subproject(g.files.withColumn("path", F.col("id")), g, subproject)
-    hits = _best(files.withColumn("score", score(F.lower("id"), needle) if needle else F.lit(0)), g, limit).select("id", "language", "score", "degree")
+    hits = _best(files.withColumn("score", score(F.lower("id"), needle) if needle else F.lit(0)), g, limit).select("id", "language", "score", "degree", "seq")
     exports = g.of_types("defines").join(hits.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("exports"))
     importers = g.of_types("imports").join(hits.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("imported_by"))
     out = hits.join(exports, "id", "left").join(importers, "id", "left").fillna(0, ["exports", "imported_by"])
+    # joins keep no order; these are `limit` rows
+    out = out.orderBy(F.desc("score"), F.desc("degree"), "seq")
     return out.select(F.col("id").alias("path"), "language", "exports", "imported_by", "score", "degree")
 
 
@@ -74,7 +76,7 @@ def search_symbols(g: PropertyGraph, query: str, limit: int = 20, subproject: st
         symbols = symbols.withColumn("hit", F.struct(score(F.lower("name"), needle).alias("score"), F.lit("").alias("via")))
     hits = _best(symbols.withColumn("score", F.col("hit.score")), g, limit)
     callers = g.of_types("uses", "calls").join(hits.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
-    out = hits.join(callers, "id", "left").fillna(0, ["callers"])
+    out = hits.join(callers, "id", "left").fillna(0, ["callers"]).orderBy(F.desc("score"), F.desc("degree"), "seq")
     return out.select("name", F.col("stype").alias("type"), F.col("path").alias("file"), short(F.col("signature"), SIGNATURE).alias("signature"), "callers", F.substring(F.coalesce("intent", F.lit("")), 1, INTENT).alias("intent"), F.col("hit.via").alias("via"), "score", "degree")
 
 
