@@ -34,6 +34,8 @@ SHORTEST, SMALL = 8, 64
 NODE, DEPTH = 256, 12
 #: Points that one shortest prefix of a trie, which is searched in one piece, holds on average at most.
 PIECE = 1 << 16
+#: Points of a node that are compared at once, in a square.
+SQUARE = 512
 #: Unlike points of a node beyond which it gets a forest of its own, and that forest's recall.
 DENSE, AGAIN = 4096, 0.98
 
@@ -134,6 +136,17 @@ def near_pairs(a: np.ndarray, key: np.ndarray, segment: np.ndarray, depth: int,
         left.append(x[good])
         right.append(y[good])
     for i in np.flatnonzero(sizes > SMALL):
+        if sizes[i] <= SQUARE:
+            p = a[at[i] : at[i + 1]]
+            half = np.bitwise_count(p[:, None, 0] ^ p[None, :, 0]) + np.bitwise_count(p[:, None, 1] ^ p[None, :, 1])
+            x, y = np.nonzero(half <= distance)
+            # where most are alike, and pairs many, one member after the other is cheaper
+            if len(x) <= 16 * len(p):
+                x, y = x[x < y], y[x < y]
+                good = np.bitwise_count(p[x] ^ p[y]).sum(1, dtype=np.int32) <= distance
+                left.append(at[i] + x[good])
+                right.append(at[i] + y[good])
+                continue
         rest = np.arange(at[i], at[i + 1])
         joined = 0
         while len(rest) > 1:
