@@ -480,6 +480,64 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
     assert all(set(range(70, 70 + n)) <= covered.get(d, set()) for d, n in size.items())
 
 
+def test_edited_passages_whose_parts_stand_in_earlier_documents(spark):
+    """As above, but C and B differ in some words: no window of 50 words is equal."""
+    r = random.Random(19)
+    say = lambda n: [f"v{r.randrange(50_000)}" for _ in range(n)]
+    rows = []
+    for k in range(30):
+        x, y = say(40), say(40)
+        fuzzy = [w if i % 20 != 10 else "changed" for i, w in enumerate(x + y)]
+        rows += [(4 * k + i, " ".join(say(70) + w + say(70))) for i, w in enumerate((x, y, x + y, fuzzy))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(g["doc_id"], g["source_doc_id"]) for g in got} == {(4 * k + 3, 4 * k + 2) for k in range(30)}
+    assert all(g["identity"] >= 0.9 and g["end_word"] - g["start_word"] >= 70 for g in got)
+
+
+@pytest.mark.parametrize("count", [20, 60])
+def test_all_pairs_of_edited_passages(spark, count):
+    """Each of them is like each other; up to LINKS all pairs are rows, beyond they are one class. Copies of a text count once."""
+    r = random.Random(count)
+    say = lambda n: [f"v{r.randrange(50_000)}" for _ in range(n)]
+    base, sides = say(90), []
+    for i in range(count):
+        sides.append([w if r.random() < 0.94 else f"e{i}n{j}" for j, w in enumerate(base)])
+    rows = [(i, " ".join(say(60) + w + say(60))) for i, w in enumerate(sides)]
+    rows += [(1000 + i, t) for i, t in rows[:10]]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    links = {(g["doc_id"], g["source_doc_id"]) for g in got}
+    assert {x for x in links if x[0] >= 1000} == {(1000 + i, i) for i in range(10)}
+    code = {w: n for n, w in enumerate({w for x in sides for w in x})}
+    x = [np.array([code[w] for w in s]) for s in sides]
+    wanted = {(i, j) for i in range(count) for j in range(i) if passages.distance(x[i], x[j]) <= 18}
+    join = {}
+
+    def find(v):
+        while v in join:
+            v = join[v]
+        return v
+
+    for a, b in links:
+        if (a := find(a)) != (b := find(b)):
+            join[a] = b
+    assert len(wanted) > count * (count - 1) * 0.45
+    assert len({find(i) for i in range(count)}) == 1
+    if count <= passages.LINKS:
+        assert wanted <= links
+
+
+@pytest.mark.parametrize("count", [40])
+def test_a_class_whose_parts_are_hot_elsewhere(spark, count):
+    """Edited passages; each seed of them has its first place in another document that holds a part of 40 words."""
+    r = random.Random(count)
+    say = lambda n: [f"v{r.randrange(50_000)}" for _ in range(n)]
+    x, y = say(40), say(40)
+    rows = [(0, x), (1, y)] + [(2 + i, [w if r.random() < 0.96 else f"e{i}n{j}" for j, w in enumerate(x + y)]) for i in range(count)]
+    rows = [(i, " ".join(say(60) + w + say(60))) for i, w in rows]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g["doc_id"] for g in got} == set(range(3, count + 2)) and all(g["source_doc_id"] > 1 for g in got)
+
+
 def test_passages_cover_what_brute_force_finds(spark, docs, plain):
     """Windows of 50 equal words that an earlier document holds lie in reported passages."""
     first, need = {}, []
