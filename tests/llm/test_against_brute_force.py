@@ -586,6 +586,70 @@ def test_a_far_heavy_segment_hides_no_near_ones():
     assert got == [[0], [1, 2, 3, 4, 5, 6, 7]] or got == [[1, 2, 3, 4, 5, 6, 7], [0]]
 
 
+def test_chains_are_the_same_by_tree_and_one_by_one(monkeypatch):
+    r = np.random.RandomState(11)
+    for _ in range(60):
+        n = r.randint(2, 120)
+        a0, b0, size = r.randint(0, 600, n), r.randint(0, 600, n), r.randint(4, 30, n)
+        got = []
+        for crowd in (-1, n):
+            monkeypatch.setattr(passages, "CROWD", crowd)
+            got.append(passages.chain(a0, a0 + size, b0, b0 + size, size))
+        assert got[0] == got[1] and sorted(sum(got[0], [])) == list(range(n))
+
+
+def matches(rows):
+    """Matches (document, source, place, its place in the source), sorted, as _chains takes them."""
+    cols = [pa.array(c, t) for c, t in zip(zip(*sorted(rows)), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([True] * len(rows))], names=["doc_id", "source_id", "place", "source_place", "first"])
+
+
+def test_only_segments_that_may_reach_a_chain_are_chained(monkeypatch):
+    """Pairs of documents with four seeds each, too far from each other, make no work beyond that of whole columns; no chain is lost by that."""
+    calls, chain = [], passages.chain
+    monkeypatch.setattr(passages, "chain", lambda *a: calls.append(len(a[0])) or chain(*a))
+    far = [(i, j, 100 * k, 70 * k) for i in range(20, 40) for j in range(20) for k in range(4)]
+    near = [(50, 1, 300, 10), (50, 1, 310, 21), (50, 1, 500, 600), (50, 2, 5, 5), (50, 2, 25, 40)]
+    got = [tuple(x.values()) for b in passages._chains(2 * passages.K)(iter([matches(far + near)])) for x in b.to_pylist()]
+    assert got == [(50, 1, 300, 10, [300, 304, 10, 14, 310, 314, 21, 25], False)]
+    assert calls == [2, 2]
+
+
+def test_chains_of_matches_are_those_of_all_segments():
+    """Cut to groups or not, matches make the same chains."""
+    r = np.random.RandomState(5)
+    rows = {(50, int(r.randint(3)), int(p), int(p) + int(r.choice([0, 0, 3, 200]))) for p in r.randint(0, 900, 400)}
+    least = 2 * passages.K
+    got = sorted((x["source_id"], tuple(x["segments"])) for b in passages._chains(least)(iter([matches(rows)])) for x in b.to_pylist())
+    wanted = []
+    for source in range(3):
+        found = []
+        for d, a in sorted((x[3] - x[2], x[2]) for x in rows if x[1] == source):
+            if found and found[-1][4] == d and a <= found[-1][1]:
+                found[-1][5] += a + passages.K - found[-1][1]
+                found[-1][1], found[-1][3] = a + passages.K, a + d + passages.K
+            else:
+                found.append([a, a + passages.K, a + d, a + d + passages.K, d, passages.K])
+        found.sort(key=lambda x: (-x[4], x[0]))
+        for path in passages.chain(*(np.array([x[c] for x in found]) for c in (0, 1, 2, 3, 5))):
+            if sum(found[i][5] for i in path) >= least:
+                wanted.append((source, tuple(v for i in path for v in found[i][:4])))
+    assert len(wanted) > 20 and got == sorted(wanted)
+
+
+def test_distances_are_those_of_the_whole_matrix():
+    r = np.random.RandomState(2)
+    for _ in range(400):
+        x, y = (r.randint(0, 1 + r.randint(1, 9), r.randint(0, 90)).tolist() for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x):
+            new = [i + 1]
+            for j, v in enumerate(y):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (u != v)))
+            row = new
+        assert passages.distance(x, y) == row[-1] and passages.distance(np.array(x), np.array(y)) == row[-1]
+
+
 
 @given(st.text("ab 1'\n.é漢", max_size=60), st.lists(st.tuples(st.integers(0, 70), st.integers(0, 70), st.text("ab 1'\n.é", max_size=6)), max_size=5))
 @settings(max_examples=400, deadline=None)
