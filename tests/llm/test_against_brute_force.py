@@ -1,6 +1,7 @@
 """Operators and the pipeline against slow and plain versions of themselves."""
 
 import random
+import time
 
 import brute
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import archive, decontaminate, edits, language, lines, packing, passages, secrets, simhash, tokens, topk
+from graphloom.llm import archive, common, decontaminate, edits, language, lines, packing, passages, secrets, simhash, tokens, topk
 from graphloom.llm import words as hashing
 
 SF = "/root/testdata/sf0.001"
@@ -526,6 +527,36 @@ def test_all_pairs_of_edited_passages(spark, count):
         assert wanted <= links
 
 
+def test_passages_hold_little_on_disk(spark, monkeypatch):
+    """Matches of hot seeds in many blocks give the rows of one; of tables only those stay that the result reads."""
+    r = random.Random(5)
+    say = lambda n: [f"v{r.randrange(50_000)}" for _ in range(n)]
+    bases = [say(90) for _ in range(3)]
+    rows = [(i, " ".join(say(20) + [w if r.random() < 0.94 else f"e{i}n{j}" for j, w in enumerate(bases[i % 3])])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made, written = [], passages.written
+    monkeypatch.setattr(passages, "written", lambda s, df, name: (made.append(name), written(s, df, name))[1])
+    before = common.tables()
+    whole = passages.repeated_passages(docs)
+    names = [at.rpartition("/")[2].rpartition("-")[0] for at in common._WRITTEN[before:]]
+    assert names == ["copies", "passages", "exact", "rest"] and made.count("rest") == 1
+    parts = passages.repeated_passages(docs, most=400)
+    assert made.count("rest") > 3
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = status.shuffleStatuses().size()
+    table = common.written(spark, spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert table.count() == 7
+    deadline = time.time() + 30
+    while status.shuffleStatuses().size() > before + 1 and time.time() < deadline:
+        time.sleep(0.2)
+    # that of the count above is not from written()
+    assert status.shuffleStatuses().size() <= before + 1
+
+
 @pytest.mark.parametrize("count", [40])
 def test_a_class_whose_parts_are_hot_elsewhere(spark, count):
     """Edited passages; each seed of them has its first place in another document that holds a part of 40 words."""
