@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.extract import extract_files
+from ..functions.extract import extract_files, spread
 from ..operators import link
 from ..sources import tree
 
@@ -41,9 +41,13 @@ def _expected(columns: str, rows: list[tuple]) -> str:
     return " UNION ALL ".join("SELECT " + ", ".join(f"{_sql(v)} AS {c}" for c, v in zip(names, row)) + " FROM part" for row in rows)
 
 
+def _texts(spark: SparkSession, sf: str, language: str, path: str, text: str) -> DataFrame:
+    part = spread(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_name"))
+    return part.select(_filled(path).alias("path"), F.lit(language).alias("language"), _filled(text).alias("content"))
+
+
 def _files(spark: SparkSession, sf: str, language: str, path: str, text: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_name")
-    return extract_files(part.select(_filled(path).alias("path"), F.lit(language).alias("language"), _filled(text).alias("content")))
+    return extract_files(_texts(spark, sf, language, path, text))
 
 
 def _add(name: str, language: str, path: str, text: str, read: Callable[[DataFrame], DataFrame], columns: str, rows: list[tuple]) -> None:
@@ -257,8 +261,9 @@ ORACLE_SQL["tree_languages"] = f"WITH {_LISTED} SELECT language, count(*) AS fil
 
 def _resolved(language: str, path: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = _files(spark, sf, language, path, text)
-        return link.resolved_imports(found, found.select("path").distinct()).select("path", "target", F.array_join("names", "|").alias("names"))
+        texts = _texts(spark, sf, language, path, text)
+        # the listing is that of the texts: no file is parsed for its path
+        return link.resolved_imports(extract_files(texts), texts.select("path").distinct()).select("path", "target", F.array_join("names", "|").alias("names"))
 
     return run
 

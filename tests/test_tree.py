@@ -1,9 +1,12 @@
 """From a source tree on disk to a graph, and the refresh of what changed."""
 
+import ast
 import os
 
-from graphloom.functions.extract import extract
-from graphloom.plans import index
+import pytest
+
+from graphloom.functions.extract import _walk, extract, extract_files, spread
+from graphloom.plans import index, queries
 from graphloom.sources import toon, tree
 
 
@@ -97,3 +100,21 @@ def test_text_cells():
     assert [toon.cell(x) for x in (None, "a\nb", "a\r\nb", "a,b", 3)] == ["", "a b", "a b", '"a,b"', "3"]
     doc = toon.Document().pair("k", "v").table("none", ["a"], []).table("t", ["a", "b"], [(1, "x,y")])
     assert doc.text() == 'k: v\nt[1]{a,b}:\n  1,"x,y"'
+
+
+def test_files_are_read_by_all_tasks(spark):
+    """A small table makes many files: they are spread over the tasks, whose batches hold few of them."""
+    at = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{at}/part.parquet")
+    assert part.rdd.getNumPartitions() == 1 and spread(part.select("p_partkey")).rdd.getNumPartitions() >= 8
+    for name in ("python_symbols", "typescript_calls", "rust_attributes"):
+        assert "Exchange" in queries.QUERIES[name](spark, at)._jdf.queryExecution().executedPlan().toString()
+    rows = [(f"f{i}.py", "python", f"def f{i}(): pass\n" if i % 3 else None) for i in range(1200)]
+    got = {r["path"]: [s["name"] for s in r["symbols"]] for r in extract_files(spark.createDataFrame(rows, "path string, language string, content string").coalesce(1)).collect()}
+    assert got == {f"f{i}.py": [f"f{i}"] if i % 3 else [] for i in range(1200)}
+
+
+def test_walk():
+    node = ast.parse('@d(1)\nclass A(B):\n    x: int = -1 + 2 if a < b and c else [i for i in y]\n    async def f(self, *a, k=f"{x}"): del a[0]; x += 1\n')
+    skipped = ast.expr_context, ast.operator, ast.cmpop, ast.unaryop, ast.boolop
+    assert _walk(node) == [n for n in ast.walk(node) if not isinstance(n, skipped)]
