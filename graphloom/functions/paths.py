@@ -74,6 +74,7 @@ def joined(path: str, spec: str) -> Column:
 
 def ts_candidates(path: str, spec: str) -> Column:
     """Of a specifier that begins with a dot the exact file, then with each extension, then an index file; others none."""
-    at = joined(path, spec)
-    tries = [at] + [F.concat(at, F.lit("." + e)) for e in SCRIPTS] + [F.concat(at, F.lit("/index." + e)) for e in SCRIPTS]
-    return F.when(F.col(spec).startswith(".") & at.isNotNull(), F.array(*tries)).otherwise(F.array().cast("array<string>"))
+    tries = [""] + ["." + e for e in SCRIPTS] + ["/index." + e for e in SCRIPTS]
+    # the path is joined once, for all endings
+    found = F.transform(F.array(joined(path, spec)), lambda at: F.when(at.isNotNull(), F.transform(F.array(*map(F.lit, tries)), lambda end: F.concat(at, end))))
+    return F.when(F.col(spec).startswith("."), F.coalesce(F.get(found, F.lit(0)), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))

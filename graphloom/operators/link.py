@@ -36,8 +36,9 @@ def resolved_imports(extracted: DataFrame, listing: DataFrame) -> DataFrame:
     flat = extracted.select("path", F.posexplode("imports").alias("n", "i")).select("path", "n", "i.*")
     found = F.when(F.col("kind") == "python", python_candidates(F.col("spec"), F.col("level"), F.col("path"))).when(F.col("kind") == "ts", ts_candidates("path", "spec")).otherwise(F.array("spec"))
     tried = flat.select("path", "n", "names", F.posexplode(found).alias("rank", "target"))
-    known = listing.select(F.col("path").alias("target"))
-    return tried.join(known, "target").groupBy("path", "n").agg(F.min_by("target", "rank").alias("target"), F.first("names").alias("names"))
+    # what is listed has as many rows as there are files, which the optimizer can't know of what Python returns: never broadcast
+    known = listing.select(F.col("path").alias("target")).hint("merge")
+    return tried.join(known, "target").groupBy("path", "n").agg(F.min_by(F.struct("target", "names"), "rank").alias("m")).select("path", "n", "m.target", "m.names")
 
 
 def evidence(language: Column) -> Column:

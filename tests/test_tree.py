@@ -114,6 +114,13 @@ def test_files_are_read_by_all_tasks(spark):
     assert got == {f"f{i}.py": [f"f{i}"] if i % 3 else [] for i in range(1200)}
 
 
+@pytest.mark.parametrize("name", ["python_resolved", "typescript_resolved"])
+def test_imports_are_resolved_in_one_pass(spark, name):
+    """No file is parsed again for the listing of paths, and the listing, which grows as the files do, is not sent to the driver."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Broadcast" not in plan
+
+
 def test_walk():
     node = ast.parse('@d(1)\nclass A(B):\n    x: int = -1 + 2 if a < b and c else [i for i in y]\n    async def f(self, *a, k=f"{x}"): del a[0]; x += 1\n')
     skipped = ast.expr_context, ast.operator, ast.cmpop, ast.unaryop, ast.boolop
