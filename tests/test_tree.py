@@ -121,6 +121,12 @@ def test_imports_are_resolved_in_one_pass(spark, name):
     assert plan.count("MapInArrow") == 1 and "Broadcast" not in plan
 
 
+def test_strings_of_decorators_are_no_literals():
+    text = '@app.route("/a/long/route")\nclass A:\n    @mark("another long one")\n    def f(self, x="a long default"):\n        return "a long result"\n'
+    found = {s["name"]: [x["value"] for x in s["literals"]] for s in extract(text, "f.py", "python")["symbols"]}
+    assert found == {"A": ["a long default", "a long result"], "f": ["a long default", "a long result"]}
+
+
 def test_walk():
     node = ast.parse('@d(1)\nclass A(B):\n    x: int = -1 + 2 if a < b and c else [i for i in y]\n    async def f(self, *a, k=f"{x}"): del a[0]; x += 1\n')
     skipped = ast.expr_context, ast.operator, ast.cmpop, ast.unaryop, ast.boolop
