@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -76,60 +76,82 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def twins(pairs: DataFrame) -> DataFrame:
+    """(id, head, size) of every node of the pairs: nodes with the same neighbours form a class, which its least node heads.
+    Neighbours are compared by their number and two sums of hashes, so that no task holds those of a node."""
+    h = [F.sum(F.xxhash64(*seed, "dst").cast("decimal(38,0)")).alias(c) for c, seed in (("h", ()), ("g", (F.lit(1),)))]
+    prints = both_ways(pairs).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), *h)
+    heads = prints.groupBy("n", "h", "g").agg(F.min("id").alias("head"), F.count("*").alias("size"))
+    return prints.join(heads, ["n", "h", "g"]).select("id", "head", "size", "n")
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = ADJACENCY) -> DataFrame:
-    """(id, betweenness) on the undirected projection, over unordered pairs, scaled by 2 / ((n - 1)(n - 2)), 6 digits."""
-    pairs = undirected(edges)
+    """(id, betweenness) on the undirected projection, over unordered pairs, scaled by 2 / ((n - 1)(n - 2)), 6 digits.
+
+    Nodes with the same neighbours have the same betweenness: the search runs over their classes, weighted by their sizes."""
+    checkpoint_dir(nodes.sparkSession)
+    pairs = undirected(edges).checkpoint()
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = _packed_brandes(nodes, pairs) if pairs.count() <= limit else _joined_brandes(nodes, pairs)
-    return nodes.select("id").join(sums, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
+    classes = twins(pairs).checkpoint()
+    head = classes.filter("id = head").select("head", "size", F.col("n").alias("links"))
+    # the edges of a head stand for those of its class
+    ends = both_ways(pairs).join(head.select(F.col("head").alias("src")), "src", "left_semi").join(classes.select(F.col("id").alias("dst"), F.col("head").alias("to")), "dst")
+    near = ends.select("src", F.col("to").alias("dst")).distinct().checkpoint()
+    sums = _packed_brandes(head, near) if near.count() <= 2 * limit else _joined_brandes(head, near)
+    every = classes.join(sums.withColumnRenamed("id", "head"), "head").select("id", "sum")
+    return nodes.select("id").join(every, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("betweenness"))
 
 
-def _packed_brandes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sources spread over tasks, each with the (size-checked) adjacency; partial sums are added up."""
-    spark = nodes.sparkSession
+def _packed_brandes(heads: DataFrame, near: DataFrame) -> DataFrame:
+    """Sources (head, size, links) spread over tasks, each with the (size-checked) adjacency of classes; partial sums are added up.
+
+    Other nodes of the source's class are two steps away, behind all its neighbours, and lie on no shortest path."""
+    spark = heads.sparkSession
     around: dict[str, list[str]] = {}
-    for a, b in pairs.orderBy("src", "dst").toLocalIterator():
+    for a, b in near.orderBy("src", "dst").toLocalIterator():
         around.setdefault(a, []).append(b)
-        around.setdefault(b, []).append(a)
-    shared = spark.sparkContext.broadcast(around)
+    shared = spark.sparkContext.broadcast((around, {r["head"]: r["size"] for r in heads.select("head", "size").toLocalIterator()}))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, total = shared.value, {}
-        for frame in frames:
-            for s in frame["id"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (near, size), total = shared.value, {}
+        for b in batches:
+            for s, own, links in zip(*(b.column(c).to_pylist() for c in ("head", "size", "links"))):
                 dist, paths, order, before = {s: 0}, {s: 1.0}, [s], {}
                 for v in order:
+                    through = paths[v] * (size[v] if v != s else 1)
                     for w in near.get(v, ()):
                         if w not in dist:
                             dist[w] = dist[v] + 1
                             paths[w] = 0.0
                             order.append(w)
                         if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
+                            paths[w] += through
                             before.setdefault(w, []).append(v)
                 owed = dict.fromkeys(order, 0.0)
+                for w in near.get(s, ()):
+                    owed[w] = (own - 1) / links
                 for w in reversed(order[1:]):
                     for v in before[w]:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                    total[w] = total.get(w, 0.0) + owed[w]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+                        owed[v] += paths[v] / paths[w] * size[w] * (1 + owed[w])
+                    total[w] = total.get(w, 0.0) + own * owed[w]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.float64())], names=["id", "part"])
 
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    spread = ends.repartition(max(spark.sparkContext.defaultParallelism, 1), "id")
-    return spread.mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("sum"))
+    spread = heads.repartition(max(spark.sparkContext.defaultParallelism, 1), "head")
+    return spread.mapInArrow(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("sum"))
 
 
-def _joined_brandes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _joined_brandes(heads: DataFrame, near: DataFrame) -> DataFrame:
     """The same level by level for all sources at once, as joins: memory of a task does not bound the graph."""
-    checkpoint_dir(nodes.sparkSession)
-    near = both_ways(pairs).checkpoint()
-    level = pairs.select(F.explode(F.array("src", "dst")).alias("s")).distinct().select("s", F.col("s").alias("id"), F.lit(1.0).alias("paths"), F.lit(0).alias("d")).checkpoint()
+    near = near.join(heads.select(F.col("head").alias("src"), F.col("size").alias("many")), "src").checkpoint()
+    level = heads.select(F.col("head").alias("s"), F.col("head").alias("id"), F.col("size").alias("own"), ((F.col("size") - 1) / F.col("links")).alias("behind"), F.lit(1.0).alias("paths"), F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("d")).checkpoint()
+    sizes = heads.select(F.col("head").alias("id"), "size")
     seen, levels, d = level, [level], 0
     while True:
         d += 1
-        step = level.join(near, level["id"] == near["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        level = step.join(seen, ["s", "id"], "left_anti").withColumn("d", F.lit(d)).checkpoint()
+        step = level.join(near, level["id"] == near["src"]).groupBy("s", F.col("dst").alias("id")).agg(F.first("own").alias("own"), F.first("behind").alias("behind"), F.sum(F.col("paths") * F.col("size")).alias("paths"))
+        step = step.join(seen.select("s", "id"), ["s", "id"], "left_anti").join(sizes, "id")
+        level = step.select("s", "id", "own", "behind", "paths", "size", F.lit(d).alias("d")).checkpoint()
         if level.isEmpty():
             break
         levels.append(level)
@@ -137,14 +159,15 @@ def _joined_brandes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     owed = None
     done = []
     for level in reversed(levels):
+        start = F.when(F.col("d") == 1, F.col("behind")).otherwise(0.0)
         if owed is None:
-            now = level.withColumn("owed", F.lit(0.0))
+            now = level.withColumn("owed", start)
         else:
-            below = owed.select("s", F.col("id").alias("w"), F.col("paths").alias("w_paths"), F.col("owed").alias("w_owed"))
-            got = level.join(near, level["id"] == near["src"]).join(below, (level["s"] == below["s"]) & (F.col("dst") == F.col("w"))).groupBy(level["s"], level["id"]).agg(F.sum(F.col("paths") / F.col("w_paths") * (1 + F.col("w_owed"))).alias("owed"))
-            now = level.join(got, ["s", "id"], "left").fillna(0.0, ["owed"])
+            below = owed.select(F.col("s").alias("ws"), F.col("id").alias("w"), F.col("paths").alias("w_paths"), F.col("size").alias("w_size"), F.col("owed").alias("w_owed"))
+            got = level.select("s", "id", "paths").join(near, F.col("id") == F.col("src")).join(below, (F.col("s") == F.col("ws")) & (F.col("dst") == F.col("w"))).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("w_paths") * F.col("w_size") * (1 + F.col("w_owed"))).alias("got"))
+            now = level.join(got, ["s", "id"], "left").withColumn("owed", start + F.coalesce("got", F.lit(0.0))).drop("got")
         owed = now.checkpoint()
-        done.append(owed.filter("s != id").select("id", "owed"))
+        done.append(owed.filter("s != id").select("id", (F.col("owed") * F.col("own")).alias("owed")))
     every = done[0]
     for x in done[1:]:
         every = every.union(x)
@@ -206,48 +229,47 @@ def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     parts = connected_components(pairs)
     total = pairs.count()
 
-    def solve(key, frame: pd.DataFrame) -> pd.DataFrame:
-        weights: dict[str, dict[str, float]] = {}
-        for a, b in zip(frame["src"], frame["dst"]):
-            weights.setdefault(a, {})[b] = 1.0
-            weights.setdefault(b, {})[a] = 1.0
-        member = {v: v for v in weights}
-        graph = {v: dict(sorted(w.items())) for v, w in sorted(weights.items())}
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        src, dst = (table.column(c).combine_chunks() for c in ("src", "dst"))
+        ids = pc.unique(pa.chunked_array([src, dst]))
+        ids = ids.take(pc.sort_indices(ids))
+        a, b = (pc.index_in(x, value_set=ids).to_numpy() for x in (src, dst))
+        # nodes are numbers in order of their names, a community is named after one of them
+        row, col = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64)
+        weight, member, names = np.ones(len(row)), np.arange(len(ids)), np.arange(len(ids))
         while True:
-            label, moved = _local_moves(graph, total)
+            order = np.lexsort((col, row))
+            label, moved = _local_moves(np.searchsorted(row[order], np.arange(len(names) + 1)), col[order], weight[order], total)
             if not moved:
                 break
-            member = {v: label[c] for v, c in member.items()}
-            merged: dict[str, dict[str, float]] = {}
-            for v, w in graph.items():
-                row = merged.setdefault(label[v], {})
-                for u, x in w.items():
-                    row[label[u]] = row.get(label[u], 0.0) + x
-            graph = {v: dict(sorted(w.items())) for v, w in sorted(merged.items())}
-        least: dict[str, str] = {}
-        for v, c in member.items():
-            least[c] = min(v, least.get(c, v))
-        return pd.DataFrame({"path": list(member), "head": [least[c] for c in member.values()]})
-
-    placed = pairs.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").applyInPandas(solve, "path string, head string")
+            kept, at = np.unique(label, return_inverse=True)
+            member, names = at[member], names[kept]
+            both, back = np.unique(at[row] * len(kept) + at[col], return_inverse=True)
+            row, col, weight = both // len(kept), both % len(kept), np.bincount(back, weight)
+        # members are numbered in order, so the first of a community is its least
+        _, first, of = np.unique(member, return_index=True, return_inverse=True)
+        return pa.table({"path": ids, "head": ids.take(pa.array(first[of]))})
+
+    placed = pairs.join(parts.withColumnRenamed("node", "src"), "src").select("component", "src", "dst").groupBy("component").applyInArrow(solve, "path string, head string")
     every = nodes.select(F.col("id").alias("path")).join(placed, "path", "left").select("path", F.coalesce("head", "path").alias("head"))
     heads = every.select("head").distinct().orderBy("head")
     numbered = heads.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("head string, cid bigint")
     return every.join(numbered, "head").select("path", F.col("cid").cast("int").alias("cid"))
 
 
-def _local_moves(graph: dict[str, dict[str, float]], total: float) -> tuple[dict[str, str], bool]:
-    label = {v: v for v in graph}
-    strength = {v: sum(w.values()) for v, w in graph.items()}
-    sums = dict(strength)
+def _local_moves(at: np.ndarray, col: np.ndarray, weight: np.ndarray, total: float) -> tuple[np.ndarray, bool]:
+    """The community of each node, and whether any has moved. Neighbours of node v are those from at[v] to at[v + 1]."""
+    n = len(at) - 1
+    degree = np.bincount(np.repeat(np.arange(n), np.diff(at)), weight, n)
+    label, strength, sums = array("q", range(n)), array("d", degree.tobytes()), array("d", degree.tobytes())
     moved, again = False, True
     while again:
         again = False
-        for v, w in graph.items():
-            own = label[v]
+        for v in range(n):
+            own, low, high = label[v], at[v], at[v + 1]
             sums[own] -= strength[v]
-            links: dict[str, float] = {}
-            for u, x in w.items():
+            links: dict[int, float] = {}
+            for u, x in zip(col[low:high].tolist(), weight[low:high].tolist()):
                 if u != v:
                     links[label[u]] = links.get(label[u], 0.0) + x
             best, gain = own, links.get(own, 0.0) - strength[v] * sums[own] / (2 * total)
@@ -258,4 +280,4 @@ def _local_moves(graph: dict[str, dict[str, float]], total: float) -> tuple[dict
             sums[best] += strength[v]
             if best != own:
                 label[v], moved, again = best, True, True
-    return label, moved
+    return np.frombuffer(label, np.int64), moved
