@@ -96,7 +96,8 @@ def viz_nodes(g: PropertyGraph, ranks: DataFrame, communities: DataFrame | None
     else:
         files = files.withColumn("community", F.lit(-1))
     color = F.when(F.col("community") < 0, F.lit(NO_COMMUNITY)).otherwise(F.get(F.array(*map(F.lit, PALETTE)), F.col("community") % len(PALETTE)))
-    led = g.edges.select(F.col("src").alias("id"), F.col("dst")).join(g.symbols.select(F.col("id").alias("dst"), "name", "stype", "seq"), "dst").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "name", "stype"))), 1, most).alias("e"))
+    # only what a file leads to is gathered
+    led = g.edges.select(F.col("src").alias("id"), F.col("dst")).join(g.files.select("id").hint("merge"), "id", "left_semi").join(g.symbols.select(F.col("id").alias("dst"), "name", "stype", "seq"), "dst").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", "name", "stype"))), 1, most).alias("e"))
     joined = files.join(in_out_degrees(g.nodes, g.edges), "id").join(led, "id", "left")
     exports = F.coalesce(F.array_join(F.transform("e", lambda x: F.concat(x["name"], F.lit(":"), x["stype"])), " "), F.lit(""))
     return joined.select("id", F.element_at(F.split("id", "/"), -1).alias("label"), "language", "subproject", "community", color.alias("color"), "radius", "pagerank", "in_degree", "out_degree", exports.alias("exports"))

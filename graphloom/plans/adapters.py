@@ -28,6 +28,17 @@ def link_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     return PropertyGraph(nodes.withColumn("ntype", F.lit("file")).withColumn("path", F.col("id")).withColumn("seq", F.col("id")), edges)
 
 
+#: Rows of which one task makes pairs distinct.
+ROWS = 500_000
+
+
+def _pairs(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct pairs, in tasks of a bounded number of rows if the table is so large that the session's would hold more."""
+    parts = rows.count() // ROWS
+    pairs = rows.select(*columns)
+    return (pairs.repartition(parts, *columns) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else pairs).distinct()
+
+
 def key_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     t = {n: table(spark, sf, n) for n in ("region", "nation", "customer", "supplier", "orders", "part", "lineitem")}
 
@@ -46,8 +57,8 @@ def key_graph(spark: SparkSession, sf: str) -> PropertyGraph:
     e = edges(t["nation"], _id("n", "n_nationkey"), _id("r", "n_regionkey"), "imports")
     e = e.union(edges(t["customer"], _id("c", "c_custkey"), _id("n", "c_nationkey"), "imports")).union(edges(t["supplier"], _id("s", "s_suppkey"), _id("n", "s_nationkey"), "imports"))
     e = e.union(edges(t["orders"], _id("c", "o_custkey"), _id("o", "o_orderkey"), "defines"))
-    e = e.union(edges(t["lineitem"].select("l_orderkey", "l_partkey").distinct(), _id("o", "l_orderkey"), _id("p", "l_partkey"), "calls"))
-    e = e.union(edges(t["lineitem"].select("l_suppkey", "l_partkey").distinct(), _id("s", "l_suppkey"), _id("p", "l_partkey"), "uses"))
+    e = e.union(edges(_pairs(t["lineitem"], "l_orderkey", "l_partkey"), _id("o", "l_orderkey"), _id("p", "l_partkey"), "calls"))
+    e = e.union(edges(_pairs(t["lineitem"], "l_suppkey", "l_partkey"), _id("s", "l_suppkey"), _id("p", "l_partkey"), "uses"))
     return PropertyGraph(nodes.withColumn("seq", F.col("id")), e)
 
 
