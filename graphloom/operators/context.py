@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph, is_test
+from .components import checkpoint_dir
 from .graph import induced, khop
 
 #: Sections in order, and their columns.
@@ -37,7 +38,10 @@ def context_sections(g: PropertyGraph, target: DataFrame, depth: int = 2, exclud
     job. The focus is the target's file, while the search starts at the target itself."""
     row = target.select("id", "path", "ntype").first()
     focus = row["id"] if row["ntype"] == "file" else row["path"]
-    sub = induced(g, khop(g, target.select("id"), depth)).cache()
+    # the edges are derived once, for all hops and for those among the nodes found
+    checkpoint_dir(g.spark)
+    whole = PropertyGraph(g.nodes, g.edges.select("src", "dst", "etype", "evidence").checkpoint())
+    sub = induced(whole, khop(whole, target.select("id"), depth, held=True)).cache()
     exports = sub.symbols.filter(F.col("path") == focus)
     ids = exports.select("id")
     name = lambda c: F.substring_index(c, "@", 1)

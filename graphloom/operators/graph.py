@@ -30,16 +30,18 @@ def file_graph(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     """The file nodes and the dependency edges between files."""
     files = g.files.select("id")
     edges = g.of_types(*FILE_DEPS).select("src", "dst", "etype")
-    inside = edges.join(files.withColumnRenamed("id", "src"), "src", "left_semi").join(files.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    # never broadcast: files may be as many as edges, whatever the size of the compressed table that they are read from
+    known = files.hint("merge")
+    inside = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return files, inside
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = 0, held: bool = False) -> DataFrame:
     """(id, hop) of what seeds (id) reach along edges (src, dst) in at most depth hops; 0 is no limit. Breadth first, a join
     of the frontier a round; each round is checkpointed, so neither its lineage nor a lost executor repeats earlier ones, and
-    so are the edges, which otherwise were derived anew for each."""
+    so are the edges, which otherwise were derived anew for each, unless they are `held` in a table already."""
     checkpoint_dir(edges.sparkSession)
-    edges = edges.select("src", "dst").checkpoint()
+    edges = edges.select("src", "dst") if held else edges.select("src", "dst").checkpoint()
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier, hop = seen, 0
     while not depth or hop < depth:
@@ -52,9 +54,9 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 0) -> DataFrame:
     return seen
 
 
-def khop(g: PropertyGraph, seeds: DataFrame, depth: int = 2) -> DataFrame:
+def khop(g: PropertyGraph, seeds: DataFrame, depth: int = 2, held: bool = False) -> DataFrame:
     """G1: (id, hop) within depth hops over all edge types in either direction."""
-    return reach(both_ways(g.edges), seeds, depth) if depth else seeds.select("id", F.lit(0).alias("hop"))
+    return reach(both_ways(g.edges), seeds, depth, held) if depth else seeds.select("id", F.lit(0).alias("hop"))
 
 
 def induced(g: PropertyGraph, ids: DataFrame) -> PropertyGraph:
